@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fathom.llm import mixing
+from fathom.llm import media, mixing
 
 
 def queries():
-    return {"op9_mixing": mixing.op9_mixing}
+    return {"op2_media": media.op2_media, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql():
