@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from fathom.llm import media, mixing
+from fathom.llm import chat, media, mixing
 
 
 def queries():
-    return {"op2_media": media.op2_media, "op9_mixing": mixing.op9_mixing}
+    return {"op1_chat": chat.op1_chat, "op2_media": media.op2_media, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql():
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op1_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
