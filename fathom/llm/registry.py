@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fathom.llm import chat, media, mixing
+from fathom.llm import chat, media, mixing, packing
 
 
 def queries():
-    return {"op1_chat": chat.op1_chat, "op2_media": media.op2_media, "op9_mixing": mixing.op9_mixing}
+    return {"op1_chat": chat.op1_chat, "op2_media": media.op2_media, "op5_packing": packing.op5_packing, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql():
