@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fathom.llm import chat, media, mixing, packing, token_counts
+from fathom.llm import chat, language, media, mixing, packing, token_counts
 
 
 def queries():
-    return {"op1_chat": chat.op1_chat, "op2_media": media.op2_media, "op3_token_counts": token_counts.op3_token_counts, "op5_packing": packing.op5_packing, "op9_mixing": mixing.op9_mixing}
+    return {"op1_chat": chat.op1_chat, "op2_media": media.op2_media, "op3_token_counts": token_counts.op3_token_counts, "op4_language": language.op4_language, "op5_packing": packing.op5_packing, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql():
