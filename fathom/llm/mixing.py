@@ -94,9 +94,9 @@ def thresholds(sized: DataFrame, goals: DataFrame, cap: int = 3) -> DataFrame:
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
+    weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, size, source_size, target, copies) of every document.
+    """(id, *carry, size, source_size, target, copies) of every document.
 
     Null text has size 0; null source is a source of its own, last in order; repeated ids stand or fall together,
     as equal ids have equal hashes; an empty table gives an empty result; other columns are not read. With no words
@@ -113,9 +113,15 @@ def mix(
     chosen = thresholds(sized, stored(targets(by_source, weights, cap)), cap)
     hint = F.broadcast if chosen.count() <= BROADCAST_SOURCES else (lambda df: df)
     taken = F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
-    return sized.join(hint(chosen), "key").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("bigint").alias("copies")
-    )
+    told = ["size", "source_size", "target", taken.cast("bigint").alias("copies")]
+    if carry:  # the choice depends on id and source alone, so rows are read again instead of being kept
+        given = docs.select(
+            F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("row"),
+            word_count(F.col(text_col)).alias("size"), key.alias("key"), place(F.col(id_col)).alias("place"),
+        )
+        names = [F.col("row.id").alias(id_col), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)]]
+        return given.join(hint(chosen), "key").select(*names, *told)
+    return sized.join(hint(chosen), "key").select(F.col("id").alias(id_col), *told)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
