@@ -73,3 +73,23 @@ def on_one_thread() -> None:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
+
+
+_HELD: dict = {}
+
+
+def held(key, build):
+    """What a worker keeps between tasks: one model or cache, the last asked for. Workers outlive a stage, so another
+    operator's is given back to the system first."""
+    if key not in _HELD:
+        _HELD.clear()
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not on this system's C library
+            pass
+        _HELD[key] = build()
+    return _HELD[key]

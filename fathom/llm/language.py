@@ -8,7 +8,6 @@ step of thousands of blocks at a time, whatever the texts' lengths.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc_remainder, slices, table, texts
+from fathom.llm.common import crc_remainder, held, slices, table, texts
 
 #: Bounds of what is learned from: so many languages (the most frequent), documents of each, characters of each.
 LANGUAGES, DOCUMENTS, CHARACTERS = 64, 96, 40_000
@@ -157,16 +156,9 @@ class Languages:
         return names, scores, rates
 
 
-_HELD: dict[str, Languages] = {}
-
-
 def languages(samples: dict[str, str]) -> Languages:
     """This worker's automata for the samples, kept between tasks."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Languages(samples)
-    return _HELD[key]
+    return held(("languages", hash(tuple(sorted(samples.items())))), lambda: Languages(samples))
 
 
 def learn(

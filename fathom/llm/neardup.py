@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import slices, stored, table
+from fathom.llm.common import held, slices, stored, table
 from fathom.llm.components import components
 
 SYMBOLS, CHUNKS, BITS = 50, 10, 16
@@ -93,14 +93,8 @@ def signatures(sets: list[np.ndarray]) -> list[bytes]:
     return [next(rows).tobytes() if len(s) else b"" for s in sets]
 
 
-_HELD: dict[int, Shingler] = {}
-
-
 def shingler(size: int) -> Shingler:
-    if size not in _HELD:
-        _HELD.clear()
-        _HELD[size] = Shingler(size)
-    return _HELD[size]
+    return held(("shingles", size), lambda: Shingler(size))
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:

@@ -17,28 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import slices, table
+from fathom.llm.common import held, slices, table
 
 RULES = ("start", "majority", "fraction")
 #: Longer records are encoded in parts that begin at a line's first word.
 PART = 1 << 20
 
-_HELD: dict[int, tuple] = {}
-
-
 def encoder(ranks: bytes, pattern: str):
     """This worker's (encode, byte length of each id)."""
-    key = hash((ranks, pattern))
-    if key not in _HELD:
+
+    def build():
         import tiktoken
 
         merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         lengths = np.zeros(max(merges.values()) + 1, np.int64)
         for token, number in merges.items():
             lengths[number] = len(token)
-        _HELD.clear()
-        _HELD[key] = tiktoken.Encoding("record", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary, lengths
-    return _HELD[key]
+        return tiktoken.Encoding("record", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary, lengths
+
+    return held(("ranks", hash((ranks, pattern))), build)
 
 
 def spans(text: str, encode, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc_remainder, slices, table, texts
+from fathom.llm.common import crc_remainder, held, slices, table, texts
 
 #: Bounds of the labelled sample: rows of each label, by least checksum of their ids, none longer than LONGEST.
 TOXIC, CLEAN, LONGEST = 1000, 2000, 8_000
@@ -370,15 +370,8 @@ class Scorer:
         return [float(v) for v in 1 / (1 + np.exp(-np.clip(self.model["slope"] * top + self.model["shift"], -30, 30)))]
 
 
-_HELD: dict[int, Scorer] = {}
-
-
 def scorer(pickled: bytes) -> Scorer:
-    key = hash(pickled)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Scorer(pickle.loads(pickled))  # noqa: S301
-    return _HELD[key]
+    return held(("toxicity", hash(pickled)), lambda: Scorer(pickle.loads(pickled)))  # noqa: S301
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, plain: int = CLEAN, longest: int = LONGEST) -> bytes:

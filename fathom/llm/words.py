@@ -6,14 +6,13 @@ A worker keeps the ids of the words it has met, and hands only new words to the
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 
-from fathom.llm.common import on_one_thread
+from fathom.llm.common import held, on_one_thread
 
 #: Words kept by a worker, about 200 bytes each. When full, all but those of the texts at hand are forgotten.
 CACHED = 400_000
@@ -136,13 +135,6 @@ class WordIds:
         return [b"".join(map(get, x)) for x in lists]
 
 
-_HELD: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_json: str) -> WordIds:
     """This worker's encoder for the tokenizer, kept between tasks."""
-    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = WordIds(tokenizer_json)
-    return _HELD[key]
+    return held(("words", hash(tokenizer_json)), lambda: WordIds(tokenizer_json))
