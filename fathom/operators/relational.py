@@ -122,7 +122,7 @@ def statement(sql: str, strict: bool = True) -> str:
             # SQL doubles quotes and knows no backslash escapes
             w = "r'" + w[1:-1] + "'" if "''" not in w else "'" + w[1:-1].replace("\\", "\\\\").replace("''", "\\'") + "'"
         named.append(w)
-    return re.sub(r" ?\. ?", ".", " ".join(named)) if not any(w.startswith(("'", "r'")) for w in named) else _joined(named)
+    return _joined(named)
 
 
 def _joined(words: Sequence[str]) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+MODULES = ("relational", "retrieval", "filters", "graphs", "series", "changes", "pipelines", "statements")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -23,17 +25,20 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _loaded() -> None:
+    for name in MODULES:
+        importlib.import_module(f"fathom.queries.{name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id")).limit(10)
+    return queries()["dense_cosine"](spark, sf_dir)
 
 
-def queries():
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
     return _QUERIES
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
+    _loaded()
     return _ORACLES
