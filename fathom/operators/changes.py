@@ -228,3 +228,35 @@ def merge_payload(old: Column, new: Column, replace: bool = False) -> Column:
 def zero_vectors(points: DataFrame, vector: str = "vector") -> DataFrame:
     """Points without a usable vector: null, empty or all zero."""
     return points.where(F.coalesce(~F.exists(vector, lambda x: x != 0), F.lit(True)))
+
+
+def update_rows(tables: Mapping[str, DataFrame], keys: Mapping[str, list[ForeignKey]], name: str, set_: Mapping[str, str], condition: str | None = None, defaults: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, DataFrame]:
+    """UPDATE with foreign keys: where referenced columns change, children follow by ON UPDATE (one level: a
+    child whose own key is referenced again is checked on the outcome)."""
+    out = dict(tables)
+    out[name] = update(tables[name], set_, condition)
+    waiting = [(name, tables[name].where(_true(condition)), dict(set_))]
+    for parent, old, change in waiting:
+        for child, fks in keys.items():
+            for fk in fks:
+                if fk.parent != parent or not set(fk.parent_columns) & set(change):
+                    continue
+                moved = old.select(
+                    *[F.col(p).alias(f"_o{i}") for i, p in enumerate(fk.parent_columns)],
+                    *[(F.expr(change[p]).cast(old.schema[p].dataType) if p in change else F.col(p)).alias(f"_n{i}") for i, p in enumerate(fk.parent_columns)],
+                ).where(" or ".join(f"not (_o{i} <=> _n{i})" for i in range(len(fk.columns)))).distinct()
+                rows = out[child]
+                on = [rows[c] == moved[f"_o{i}"] for i, c in enumerate(fk.columns)]
+                hit = rows.join(moved, on)
+                if fk.on_update == "restrict":
+                    require(hit.isEmpty(), "23503", f"{fk.name} restricts the update")
+                elif fk.on_update in ("cascade", "set null", "set default"):
+                    given = (defaults or {}).get(child, {})
+                    new = {c: F.col(f"_n{i}") if fk.on_update == "cascade" else F.expr(given.get(c, "null")) if fk.on_update == "set default" else F.lit(None) for i, c in enumerate(fk.columns)}
+                    changed = hit.select(*[new[c].cast(rows.schema[c].dataType).alias(c) if c in new else F.col(c) for c in rows.columns])
+                    out[child] = rows.join(moved, on, "left_anti").unionByName(changed)
+    for child, fks in keys.items():
+        for fk in fks:
+            if not fk.deferred and name in (child, fk.parent):
+                require(broken_references(out[child], out[fk.parent], fk).isEmpty(), "23503", f"{fk.name} is violated")
+    return out
