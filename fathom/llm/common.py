@@ -51,6 +51,14 @@ def crc_remainder(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def least_hashes(order: Column, wanted: int, rows: int) -> Column:
+    """Whether a 64-bit hash is among about twice the ``wanted`` least of ``rows``: a filter before a sort and limit, so
+    that what tasks send for the limit doesn't grow with their number."""
+    if rows <= 2 * wanted:
+        return F.lit(True)
+    return order < F.lit(-(1 << 63) + (1 << 65) * wanted // rows).cast("bigint")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice's text has at most ``limit`` bytes, or is one row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
