@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc_remainder, held, slices, table, texts
+from fathom.llm.common import crc_remainder, held, least_hashes, slices, table, texts
 
 #: Bounds of what is learned from: so many languages (the most frequent), documents of each, characters of each.
 LANGUAGES, DOCUMENTS, CHARACTERS = 64, 96, 40_000
@@ -167,12 +167,16 @@ def learn(
 ) -> dict[str, str]:
     """Up to ``characters`` of text of each language, from the ``documents`` whose ids have the least checksums.
 
-    The ranks are cut before the shuffle (one group limit a task), so no language's rows meet in one place.
+    Hashes sift the rows to about twice as many as are wanted before they are ranked, so what is shuffled doesn't grow
+    with the table.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != UNDETERMINED)).where(F.col(text_col).rlike(r"\p{L}"))
-    common = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most).collect()]
+    common = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most).collect()
     order = F.xxhash64(F.col(id_col).cast("string"))
-    ranked = rows.where(F.col(lang_col).isin(common)).select(
+    sifted = F.lit(False)
+    for lang, count in common:
+        sifted = sifted | ((F.col(lang_col) == lang) & least_hashes(order, documents, count))
+    ranked = rows.where(sifted).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, characters).alias("text"), order.alias("at")
     )
     window = Window.partitionBy("lang").orderBy("at", "text")
