@@ -112,7 +112,8 @@ def mix(
     by_source = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     chosen = thresholds(sized, stored(targets(by_source, weights, cap)), cap)
     hint = F.broadcast if chosen.count() <= BROADCAST_SOURCES else (lambda df: df)
-    taken = F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
+    # a source at its cap has no budget left; documents without words below its first word are not copied once more
+    taken = F.least(F.lit(cap), F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0))
     told = ["size", "source_size", "target", taken.cast("bigint").alias("copies")]
     if carry:  # the choice depends on id and source alone, so rows are read again instead of being kept
         given = docs.select(
