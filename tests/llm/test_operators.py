@@ -277,6 +277,34 @@ def test_probabilities_sum_to_one():
     assert np.exp(both - first).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_pairs_of_every_training_text_are_counted(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(rng.choice([a + b for a in "bcdfghjk" for b in ("at", "in", "op", "un", "ed", "ill")], n))
+    rows = [(i, some(40)) for i in range(30)] + [(90, some(4000) + " walrus zebra quartz" * 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokens = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    monkeypatch.setattr(language_model, "SAMPLE", 5)
+    model = language_model.train([t for _, t in rows], tokens)  # all at hand
+    size = language_model.Vocabulary(tokens).size
+    pairs = language_model.Near(*language_model.pairs_in(*language_model.Pieces(tokens).stream([language_model.lowered(t) for _, t in rows])))
+    every = language_model.counted(df, tokens)
+    table = {(r.h >> 20, r.h & language_model.MASK): r.c for r in every.where(F.col("kind") == language_model.PAIR).collect()}
+    assert table == {(p >> 20, p & language_model.MASK): c for p, c in zip(pairs.pair.tolist(), pairs.number.tolist(), strict=True)}
+    far = language_model.Far(every.where(F.col("kind") == language_model.PAIR).select("h", "c"))
+    assert np.array_equal(far.ids(size), pairs.ids(size))
+    ours = language_model.train([t for _, t in rows], tokens, pairs=far, glue=tuple(np.zeros(size) for _ in range(2)))
+    assert np.array_equal(ours["with_class"], model["with_class"]) and np.allclose(ours["inside"], model["inside"])
+    # a score is the same whether pairs are broadcast or joined
+    scores = lambda: {r.doc_id: r.score for r in language_model.score(df, df).collect()}
+    broadcast = scores()
+    monkeypatch.setattr(language_model, "FREQUENT_PAIRS", 3)
+    joined = scores()
+    assert joined == pytest.approx(broadcast, rel=1e-4)
+    text = spark.createDataFrame([(1, "walrus zebra quartz"), (2, "badger violin oxygen")], "doc_id bigint, text string")
+    found = {r.doc_id: r.score for r in language_model.score(text, df).collect()}
+    assert found[1] > found[2] + 1  # words of a text of over LONGEST characters alone, and of none
+
+
 # 9 mixing
 
 
