@@ -27,14 +27,36 @@ GRAMS = (3, 4, 5)
 SIGNALS = 2 * len(GRAMS) + 1
 INPUT = SIGNALS + 2 * EMBED
 THRESHOLD = 0.3
+#: Characters of a word that are looked up as one; longer words are cut at marks, then into pieces.
+LONG, PIECE = 64, 16
 #: Words a worker keeps, about 400 bytes each; texts of more words than PART are read in parts of so many.
 CACHED, PART = 250_000, 1 << 18
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_SPACED = str.maketrans(MARKS, " " * len(MARKS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def clean(word: str) -> str:
-    return word.lower().strip(MARKS)[:64]
+    """A word's form; pieces of long words, told by a line feed, are in it already."""
+    return word[1:] if word[:1] == "\n" else word.lower().strip(MARKS)
+
+
+def split(text: str) -> list[str]:
+    """The text's words. One whose form has over LONG characters, such as a text without white space, is cut at marks;
+    what is longer still, into pieces of PIECE characters, which overlap by the longest n-gram so that none is lost."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG // 2:  # lower case at most doubles a word's length
+        return words
+    out = []
+    for w in words:
+        form = clean(w) if len(w) > LONG // 2 else ""
+        if len(form) <= LONG:
+            out.append(w)
+            continue
+        for part in form.translate(_SPACED).split():
+            size, last = (PIECE, max(1, len(part) - max(GRAMS))) if len(part) > LONG else (LONG, 1)
+            out.extend("\n" + part[a : a + size] for a in range(0, last, size - max(GRAMS)))
+    return out
 
 
 def grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -206,7 +228,7 @@ class Lexicon:
 
     def __init__(self, given: list[str]) -> None:
         number: dict[str, int] = {"": 0}
-        self.docs = [np.array([number.setdefault(w, len(number)) for w in map(clean, t.split())], np.int64) for t in given]
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in map(clean, split(t))], np.int64) for t in given]
         self.words = list(number)
         self.found, self.whole = grams(self.words)
         self.chars, self.small = characters(self.found, len(self.words)), self.whole % SMALL
@@ -360,7 +382,7 @@ class Scorer:
             return [self.model["constant"]] * len(given)
         top, lists = np.full(len(given), -np.inf), []
         for i, t in enumerate(given):
-            words = t.split()
+            words = split(t)
             if len(words) > PART:  # in overlapping parts, so that memory doesn't follow the text
                 for a in range(0, len(words), PART - WINDOW):
                     top[i] = max(top[i], self.tops(self.look_up([words[a : a + PART]]))[0])

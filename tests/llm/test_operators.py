@@ -239,6 +239,25 @@ def test_toxicity_edges_and_accuracy(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_toxic_passages_late_in_unspaced_texts(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(toxicity.training_rows(d), toxicity.training_rows(labels))
+    rows = d.join(labels, "doc_id").where("length(text) between 500 and 3000").orderBy("doc_id").select("text", "toxic").collect()
+    scored = list(zip(toxicity.scorer(model).score([r.text for r in rows]), rows, strict=True))
+    bad, good = max(scored, key=lambda x: x[0])[1].text, min(scored, key=lambda x: x[0])[1].text
+    for mark in ("_", "/", ""):
+        plain = mark.join(good.split())
+        late = plain + mark + mark.join(bad.split()) + mark + plain
+        a, b = toxicity.scorer(model).score([plain, late])
+        assert b > (a + 0.1 if mark else 3 * a), (mark, a, b)  # words run together are seen by their inner n-grams alone
+    for text in ("x" * 64, "İ" * 64, "-" * 99, "ab" * 500 + " cd " + "文字" * 300):
+        pieces = [toxicity.clean(w) for w in toxicity.split(text)]
+        assert all(len(x) <= toxicity.LONG for x in pieces)
+        for w in re.split(r"[-\s]+", text.lower()):
+            assert all(any(w[i : i + 5] in x for x in pieces) for i in range(len(w)))
+
+
 # 8 language model
 
 
