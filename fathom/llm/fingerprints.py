@@ -1,6 +1,6 @@
 """Document fingerprints: an invertible Bloom lookup sketch of paragraph digests, in DataFrame functions alone.
 
-A text is cut into paragraphs (lines; in texts under ``FINE`` characters, sentences), each hashed to 64 bits. A sketch
+A text of any length is cut into paragraphs, at sentence and line ends, each hashed to 64 bits. A sketch
 of 3 * s cells holds in each cell the number, the xor of digests and the xor of digest checks of the paragraphs that
 fall there, one cell in each third. Two versions' sketches are subtracted cell by cell; cells left with one digest give
 it away, and taking it out of its other cells uncovers more, until the paragraphs that differ are known. Where that
@@ -17,8 +17,8 @@ from fathom.llm.common import table
 
 #: Cells in each third of a fingerprint.
 THIRD = 10
-#: Texts of at least so many characters are cut at line ends only, shorter ones at sentence ends too.
-FINE = 4000
+#: Texts of at least so many characters would be cut at line ends only: none, as Spark's have less.
+FINE = 1 << 31
 ROUNDS = 12
 #: Digests of both sides that share a sketch when a fingerprint's own cells don't suffice.
 GROUP = 10
@@ -37,7 +37,7 @@ def digests(text: Column, pattern: str) -> Column:
 
 
 def own_digests(text: Column) -> Column:
-    return F.when(F.length(text) < FINE, digests(text, SENTENCES)).otherwise(digests(text, LINES))
+    return digests(text, SENTENCES)
 
 
 def check(key: Column) -> Column:
@@ -226,28 +226,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next"), F.lit(1), part))
     rows = with_next(docs, id_col, text_col).select("id", n.cast("bigint").alias("n_chars"), "text", "next", edited.alias("edited"))
-    short = lambda c: F.length(c) < FINE
     third = F.lit(THIRD)
-    alike, text, after = short("text") == short("edited"), F.col("text"), F.col("edited")
     keyed = rows.select(
-        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), alike.alias("alike"),
-        own_digests(text).alias("a"), own_digests(after).alias("b"), own_digests(F.col("next")).alias("c"),
-        # where an edit moves a text across FINE, both versions are compared by sentences
-        F.when(~alike, digests(text, SENTENCES)).alias("fine_a"), F.when(~alike, digests(after, SENTENCES)).alias("fine_b"),
+        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        own_digests(F.col("text")).alias("a"), own_digests(F.col("edited")).alias("b"), own_digests(F.col("next")).alias("c"),
     )
     cells = keyed.select("*", *[sketch(signed(F.col(k), 1), third).alias(f"s{k}") for k in "abc"])
-    no = F.struct(F.lit(False).alias("done"), F.lit(0).alias("only_ours"), F.lit(0).alias("only_theirs"))
-    sides = F.array(  # the two comparisons of a document, worked out by one expression
-        F.struct(
-            F.when(F.col("alike"), F.col("a")).otherwise(F.col("fine_a")).alias("a"), F.when(F.col("alike"), F.col("b")).otherwise(F.col("fine_b")).alias("b"),
-            F.col("sa").alias("x"), F.col("sb").alias("y"), F.col("alike").alias("first"),
-        ),
-        F.struct(F.col("a").alias("a"), F.col("c").alias("b"), F.col("sa").alias("x"), F.col("sc").alias("y"), F.lit(True).alias("first")),
-    )
+    side = lambda k: F.struct(F.col("a").alias("a"), F.col(k).alias("b"), F.col("sa").alias("x"), F.col(f"s{k}").alias("y"))
+    sides = F.array(side("b"), side("c"))  # the two comparisons of a document, worked out by one expression
 
     def near(p: Column) -> Column:
-        first = F.when(p["first"], peeled(subtracted(p["x"], p["y"]), third)).otherwise(no)
-        return likeness(p["a"], p["b"], compared(p["a"], p["b"], first))
+        return likeness(p["a"], p["b"], compared(p["a"], p["b"], peeled(subtracted(p["x"], p["y"]), third)))
 
     return cells.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"),

@@ -202,6 +202,14 @@ def test_fingerprints_by_brute_force(spark, odd, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_likeness_does_not_depend_on_length(spark):
+    line = " ".join(f"Sentence number {i} stands here." for i in range(300))  # one line of over 4000 characters
+    near = lambda n: "\n".join(f"First of {i} is here. Second of {i} is there." for i in range(95))[:n]
+    df = frame(spark, [(1, near(3950), None, None), (2, near(4010), None, None), (3, line, None, None)])
+    got = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
+    assert len(near(4010)) == 4010 and 0.4 < got[3].near_edited < 0.7 and got[2].near_next > 0.9
+
+
 # 7 toxicity
 
 
