@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fathom.constants import BROADCAST_ROWS
 from fathom.errors import require
 
+#: Bytes of a row group: what a task's writer holds in memory.
+ROW_GROUP = 32 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, set only where the session has none on a local master; a cluster must name its own."""
@@ -21,12 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back; survives lost executors."""
+    """``df`` written to the shared folder and read back; survives lost executors. What is written goes when the session's
+    JVM ends, or earlier by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    at, files = _located(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    at, files = _located(df.sparkSession, df.stored_path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS):
