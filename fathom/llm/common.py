@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,39 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.materialize import discard, shared_dir, stored  # noqa: F401
+
 #: A word is a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/fathom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes of an Arrow batch sent to a worker, where the session keeps Spark's default of 64 MB.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: a cut lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH, "67108864b") == "67108864b":
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_remainder(column: Column, modulus: int) -> Column:
@@ -95,6 +77,7 @@ def held(key, build):
         import gc
 
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # not on this system's C library

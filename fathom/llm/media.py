@@ -1,7 +1,8 @@
 """Media columns: telephony audio in a binary column.
 
 A payload of bytes is kept as a WAV file in one of three telephony codecs. Reading expands mu-law and A-law by lookup
-tables, decodes IMA ADPCM with numpy one sample step at a time across all blocks of many files, and resamples the PCM.
+tables, decodes IMA ADPCM with numpy one sample step at a time across all blocks of many files, resamples the PCM and
+stores it in a column beside the file.
 
 ADPCM blocks hold a 4-byte header (predictor 0, index 0) and 64 payload bytes, two 4-bit codes each, low nibble first.
 """
@@ -12,6 +13,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -96,29 +98,45 @@ def wav(payload: bytes, codec: str) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def samples(stored: bytes) -> tuple[str, memoryview]:
-    """Codec and data chunk of a WAV file; raises ValueError for anything else."""
-    view = memoryview(stored)
+class Sound(NamedTuple):
+    """A WAV file's codec, samples a second, channels, bytes of a block, and data chunk."""
+
+    codec: str
+    rate: int
+    channels: int
+    align: int
+    data: memoryview
+
+
+def sound(stored: bytes | None) -> Sound:
+    """What a WAV file holds; raises ValueError for anything but a whole file in one of CODECS (ADPCM: mono)."""
+    view = memoryview(stored or b"")
     if bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"WAVE":
         raise ValueError("not a WAV file")
-    at, codec = 12, ""
+    at, form = 12, None
     while at + 8 <= len(view):
         name, size = bytes(view[at : at + 4]), struct.unpack_from("<I", view, at + 4)[0]
-        if name == b"fmt ":
-            codec = NAMES.get(struct.unpack_from("<H", view, at + 8)[0], "")
+        if at + 8 + size > len(view):
+            raise ValueError("cut off")
+        if name == b"fmt " and size >= 14:
+            form = struct.unpack_from("<HHIIH", view, at + 8)
         if name == b"data":
-            if not codec:
+            if form is None or form[0] not in NAMES:
                 raise ValueError("unknown codec")
-            return codec, view[at + 8 : at + 8 + size]
+            tag, channels, rate, _, align = form
+            adpcm = NAMES[tag] == "ima_adpcm"
+            if not rate or not channels or (adpcm and (channels > 1 or align <= HEADER)) or size % (align if adpcm else channels):
+                raise ValueError("damaged header or data")
+            return Sound(NAMES[tag], rate, channels, align if adpcm else channels, view[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
-def payload_of(codec: str, data: memoryview) -> bytes:
+def payload_of(given: Sound) -> bytes:
     """The bytes that ``wav`` was given."""
-    if codec != "ima_adpcm":
-        return bytes(data)
-    return np.frombuffer(data, np.uint8).reshape(-1, HEADER + UNIT)[:, HEADER:].tobytes()
+    if given.codec != "ima_adpcm":
+        return bytes(given.data)
+    return np.frombuffer(given.data, np.uint8).reshape(-1, given.align)[:, HEADER:].tobytes()
 
 
 def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
@@ -137,23 +155,47 @@ def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
     return ((pcm[left].astype(np.int64) * (target - part) + pcm[right].astype(np.int64) * part) // target).astype(np.int16)
 
 
-def decoded(files: list[tuple[str, memoryview]]) -> list[np.ndarray]:
-    """PCM of data chunks at RATE; ADPCM blocks of all files are decoded together."""
-    out: list = [None if c == "ima_adpcm" else TABLES[c][np.frombuffer(d, np.uint8)] for c, d in files]
-    if which := [i for i, (c, _) in enumerate(files) if c == "ima_adpcm"]:
-        blocks = np.concatenate([np.frombuffer(files[i][1], np.uint8).reshape(-1, HEADER + UNIT) for i in which])
-        pcm, at = decode_adpcm(blocks), 0
+def decoded(files: list[Sound]) -> list[np.ndarray]:
+    """PCM of data chunks, one channel (the mean of several); ADPCM blocks of all files are decoded together."""
+    out: list = [None] * len(files)
+    together: dict[int, list[int]] = {}
+    for i, f in enumerate(files):
+        if f.codec == "ima_adpcm":
+            together.setdefault(f.align, []).append(i)
+            continue
+        out[i] = TABLES[f.codec][np.frombuffer(f.data, np.uint8)]
+        if f.channels > 1:
+            out[i] = (out[i].reshape(-1, f.channels).astype(np.int32).sum(1) // f.channels).astype(np.int16)
+    for align, which in together.items():
+        pcm, at = decode_adpcm(np.concatenate([np.frombuffer(files[i].data, np.uint8).reshape(-1, align) for i in which])), 0
         for i in which:
-            n = len(files[i][1]) // (HEADER + UNIT)
+            n = len(files[i].data) // align
             out[i] = pcm[at : at + n].reshape(-1)
             at += n
     return out
 
 
-def pieces(codec: str, data: memoryview) -> Iterator[tuple[str, memoryview]]:
-    step = PIECE // UNIT * (HEADER + UNIT) if codec == "ima_adpcm" else PIECE
-    for at in range(0, max(1, len(data)), step):
-        yield codec, data[at : at + step]
+def pieces(given: Sound) -> Iterator[Sound]:
+    """The sound in pieces of about PIECE bytes, which end with a block."""
+    step = max(1, PIECE // given.align) * given.align
+    for at in range(0, max(1, len(given.data)), step):
+        yield given._replace(data=given.data[at : at + step])
+
+
+def pcm_of(files: list[bytes | None], rate: int) -> list[bytes | None]:
+    """16-bit little-endian PCM at ``rate`` of each file; None for what is no such file."""
+    opened: list[Sound | None] = []
+    for f in files:
+        try:
+            opened.append(sound(f))
+        except (ValueError, struct.error):
+            opened.append(None)
+    small = [i for i, s in enumerate(opened) if s and len(s.data) <= PIECE]
+    pcm = dict(zip(small, decoded([opened[i] for i in small]), strict=True))
+    for i, s in enumerate(opened):
+        if s and i not in pcm:
+            pcm[i] = np.concatenate([decoded([p])[0] for p in pieces(s)])
+    return [resample(pcm[i], s.rate, rate).astype("<i2").tobytes() if s else None for i, s in enumerate(opened)]
 
 
 class Summary:
@@ -173,8 +215,8 @@ class Summary:
         self.turns += int(np.count_nonzero(signs[1:] != signs[:-1])) + (self.sign is not None and self.sign != signs[0])
         self.sign = bool(signs[-1])
 
-    def text(self, codec: str) -> str:
-        return f"{codec};rate={STORED_RATE};n={self.n};energy={self.energy // max(1, self.n)};peak={self.peak};turns={self.turns}"
+    def text(self, codec: str, rate: int) -> str:
+        return f"{codec};rate={rate};n={self.n};energy={self.energy // max(1, self.n)};peak={self.peak};turns={self.turns}"
 
 
 def codec_of(payload: bytes) -> str:
@@ -209,68 +251,54 @@ def to_pcm(df: DataFrame, media_col: str = "media", rate: int = STORED_RATE, pcm
     kept = [c for c in df.columns if c != pcm_col]
     out = df.select(*kept, F.lit(None).cast("binary").alias(pcm_col))
 
-    def one(stored: bytes | None) -> bytes | None:
-        try:
-            codec, data = samples(stored or b"")
-        except (ValueError, struct.error):
-            return None
-        pcm = np.concatenate([decoded([p])[0] for p in pieces(codec, data)])
-        return resample(pcm, RATE, rate).astype("<i2").tobytes()
-
     def run(batches):
         for batch in batches:
             for part in slices(batch, media_col, 1 << 20):
-                pcm = pa.array([one(x) for x in part.column(media_col).to_pylist()], pa.binary())
+                pcm = pa.array(pcm_of(part.column(media_col).to_pylist(), rate), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pcm], names=[*kept, pcm_col])
 
     return df.select(*kept).mapInArrow(run, out.schema)
 
 
-def described(files: list[bytes]) -> list[tuple[int, str, int, str, str]]:
-    """Of stored files, read back: payload length, hash, tail checksum, the file's hash, features of resampled PCM."""
-    opened = [samples(f) for f in files]
-    sums = [Summary() for _ in files]
-    small = [i for i, (_, d) in enumerate(opened) if len(d) <= PIECE]
-    for i, pcm in zip(small, decoded([opened[i] for i in small]), strict=True):
-        sums[i].add(resample(pcm, RATE, STORED_RATE))
-    for i in sorted(set(range(len(files))) - set(small)):
-        last = None
-        for p in pieces(*opened[i]):  # the sample before a piece is carried, so that pieces join without a seam
-            pcm = decoded([p])[0] if last is None else np.concatenate([last, decoded([p])[0]])
-            sums[i].add(resample(pcm, RATE, STORED_RATE)[:-2])
-            last = pcm[-1:]
-        sums[i].add(resample(last, RATE, STORED_RATE))
-    out = []
-    for (codec, data), s, f in zip(opened, sums, files, strict=True):
-        payload = payload_of(codec, data)
-        out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), hashlib.sha256(f).hexdigest(), s.text(codec)))
-    return out
+def described(stored: bytes | None, pcm: bytes | None, rate: int) -> tuple:
+    """Of a stored file and its stored PCM, read back: payload length, hash, tail checksum, the file's length and hash,
+    PCM's length and hash, features. Nulls where the file or its PCM is damaged or missing."""
+    try:
+        given = sound(stored)
+    except (ValueError, struct.error):
+        return (None, None, None, len(stored) if stored is not None else None, hashlib.sha256(stored).hexdigest() if stored is not None else None, None, None, None)
+    payload, own, signal = payload_of(given), Summary(), np.frombuffer(pcm or b"", "<i2")
+    for a in range(0, len(signal), PIECE):
+        own.add(signal[a : a + PIECE])
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return (
+        len(payload), sha(payload), zlib.crc32(payload[-UNIT:]), len(stored), sha(stored),
+        None if pcm is None else len(pcm), None if pcm is None else sha(pcm), None if pcm is None else own.text(given.codec, rate),
+    )
+
+
+DESCRIBED = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, pcm_bytes bigint, pcm_sha256 string, feature string"
 
 
-def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Replace the stored file by payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    kept = [c for c in df.columns if c != media_col]
-    schema = ", ".join(
-        [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
-        + ["payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"]
-    )
+def describe(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", rate: int = STORED_RATE) -> DataFrame:
+    """Replace the stored file and its PCM by payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    pcm_bytes, pcm_sha256 and feature (of the PCM). Columns of those names are replaced, others kept. A file that is
+    damaged or null has null values but for its own length and hash."""
+    names = [x.split()[0] for x in DESCRIBED.split(", ")]
+    kept = [c for c in df.columns if c not in (media_col, pcm_col, *names)]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [DESCRIBED])
+    types = [pa.int64() if "bigint" in x else pa.string() for x in DESCRIBED.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, media_col):
-                files = part.column(media_col).to_pylist()
-                n, sha, tail, own, feature = (list(x) for x in zip(*described(files), strict=True))
-                columns = [pa.array(n, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(list(map(len, files)), pa.int64()), pa.array(own), pa.array(feature)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + columns,
-                    names=[*kept, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
+            for part in slices(batch, pcm_col):
+                rows = [described(x.as_py(), y.as_py(), rate) for x, y in zip(part.column(media_col), part.column(pcm_col), strict=True)]
+                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + found, names=[*kept, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*kept, media_col, pcm_col).mapInArrow(run, schema)
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
     media = to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return describe(media).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
-    )
+    return describe(to_pcm(media)).select("doc_id", "n_bytes", *[x.split()[0] for x in DESCRIBED.split(", ")])

@@ -368,27 +368,33 @@ class Scorer:
             owner.append(np.full(len(at), i))
             padded = d if len(d) >= WINDOW else np.pad(d, (0, WINDOW - len(d)))
             rows.append(padded[at[:, None] + np.arange(WINDOW)])
-        owners, ids = np.concatenate(owner), np.concatenate(rows)
         top = np.full(len(docs), -np.inf)
+        np.maximum.at(top, np.concatenate(owner), self.highest(np.concatenate(rows)))
+        return top
+
+    def highest(self, ids: np.ndarray) -> np.ndarray:
+        """The logit of each window, given as a row of word numbers."""
+        found = np.empty(len(ids), np.float32)
         for a in range(0, len(ids), 1024):
             part = np.ascontiguousarray(ids[a : a + 1024].T)
             gates = {d: self.gates[d][part] for d in "fb"}
-            found = self.net.logits(gates, (part > 0)[..., None].astype(np.float32))
-            np.maximum.at(top, owners[a : a + 1024], found)
-        return top
+            found[a : a + 1024] = self.net.logits(gates, (part > 0)[..., None].astype(np.float32))
+        return found
 
     def score(self, given: list[str]) -> list[float]:
         if "p" not in self.model:
             return [self.model["constant"]] * len(given)
-        top, lists = np.full(len(given), -np.inf), []
-        for i, t in enumerate(given):
-            words = split(t)
-            if len(words) > PART:  # in overlapping parts, so that memory doesn't follow the text
-                for a in range(0, len(words), PART - WINDOW):
-                    top[i] = max(top[i], self.tops(self.look_up([words[a : a + PART]]))[0])
-                words = []
-            lists.append(words)
-        top = np.maximum(top, self.tops(self.look_up(lists))) if given else top
+        top, lists = np.full(len(given), -np.inf), [split(t) for t in given]
+        short = [i for i, words in enumerate(lists) if len(words) <= PART]
+        if short:
+            top[short] = self.tops(self.look_up([lists[i] for i in short]))
+        for i, words in enumerate(lists):
+            if len(words) > PART:  # a batch of its windows at a time, so that memory doesn't follow the text
+                at = windows(len(words))
+                for k in range(0, len(at), PART // STRIDE):
+                    some = at[k : k + PART // STRIDE]
+                    (ids,) = self.look_up([words[some[0] : some[-1] + WINDOW]])
+                    top[i] = max(top[i], self.highest(ids[np.array(some)[:, None] - some[0] + np.arange(WINDOW)]).max())
         return [float(v) for v in 1 / (1 + np.exp(-np.clip(self.model["slope"] * top + self.model["shift"], -30, 30)))]
 
 

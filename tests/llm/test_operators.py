@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -67,7 +68,7 @@ def test_chat_edges(spark):
 
 
 def test_media_round_trip(odd, empty):
-    got = media.describe(media.to_media(odd)).collect()
+    got = media.describe(media.to_pcm(media.to_media(odd))).collect()
     assert len(got) == len(ODD)
     want = Counter()
     for doc, text, *_ in ODD:
@@ -76,7 +77,53 @@ def test_media_round_trip(odd, empty):
         assert len(payload) % 64 == 0 and payload and payload[: len(raw)] == raw
         want[(doc, len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    assert media.to_media(empty).count() == 0
+    assert media.describe(media.to_pcm(media.to_media(empty))).count() == 0
+    for r in media.to_pcm(media.to_media(odd)).collect():
+        assert r.pcm == slow_pcm(r.media)
+        own = np.frombuffer(r.pcm, "<i2").astype(int)
+        told = next(x.feature for x in got if x.doc_id == r.doc_id and x.media_sha256 == hashlib.sha256(r.media).hexdigest())
+        turns = int((np.diff(own < 0) != 0).sum())
+        assert told.split(";", 1)[1] == f"rate=16000;n={len(own)};energy={int((own**2).sum()) // len(own)};peak={abs(own).max()};turns={turns}"
+
+
+def slow_pcm(stored):
+    """Sample by sample: decode, then halve the step by linear interpolation."""
+    s = media.sound(stored)
+    pcm = []
+    if s.codec == "ima_adpcm":
+        for at in range(0, len(s.data), s.align):
+            block = bytes(s.data[at : at + s.align])
+            value, index = int.from_bytes(block[:2], "little", signed=True), block[2]
+            pcm.append(value)
+            for code in (c for byte in block[4:] for c in (byte & 15, byte >> 4)):
+                step = int(media.STEPS[index])
+                change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + int(media.SHIFT[code])))
+                pcm.append(value)
+    else:
+        pcm = [int(media.TABLES[s.codec][b]) for b in s.data]
+    out = [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for x in (a, (a + b) >> 1)]
+    return np.array(out, "<i2").tobytes()
+
+
+def test_damaged_and_foreign_media(spark):
+    payload = media.padded(b"some text" * 30)
+    law, adpcm = media.wav(payload, "mulaw"), media.wav(payload, "ima_adpcm")
+    stereo = bytearray(law)
+    stereo[22:24], stereo[24:28] = (2).to_bytes(2, "little"), (44_100).to_bytes(4, "little")
+    double = bytearray(adpcm)
+    double[22:24] = (2).to_bytes(2, "little")
+    bad = {1: None, 2: b"", 3: b"RIFF", 4: law[:-7], 5: adpcm[:-9], 6: bytes(double), 7: law[:20] + b"\x63\0" + law[22:], 8: law[:30]}
+    files = [*bad.items(), (20, bytes(stereo)), (21, law), (22, adpcm)]
+    df = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in files], "doc_id int, media binary")
+    got = {r.doc_id: r.pcm for r in media.to_pcm(df).collect()}
+    assert all(got[k] is None for k in bad) and got[21] == slow_pcm(law) and got[22] == slow_pcm(adpcm)
+    left = media.TABLES["mulaw"][np.frombuffer(payload, np.uint8)].reshape(-1, 2).astype(int).sum(1) // 2
+    assert len(got[20]) // 2 == len(left) * 16_000 // 44_100 and np.frombuffer(got[20], "<i2")[0] == left[0]
+    told = {r.doc_id: r for r in media.describe(media.to_pcm(df)).collect()}
+    assert told[4].payload_bytes is None and told[4].media_bytes == len(law) - 7 and told[1].media_bytes is None
+    assert told[22].payload_sha256 == hashlib.sha256(payload).hexdigest()
 
 
 def test_codecs():
@@ -84,8 +131,8 @@ def test_codecs():
     assert media.TABLES["alaw"][[0xD5, 0x2A, 0xAA]].tolist() == [8, -32256, 32256]
     payload = media.padded(np.random.default_rng(1).bytes(1000))
     for codec in media.CODECS:
-        c, data = media.samples(media.wav(payload, codec))
-        assert c == codec and media.payload_of(c, data) == payload
+        got = media.sound(media.wav(payload, codec))
+        assert got.codec == codec and got.rate == media.RATE and media.payload_of(got) == payload
     blocks = np.random.default_rng(2).integers(0, 256, (5, media.HEADER + media.UNIT), np.uint8)
     blocks[:, 2] %= 89
     for i, out in enumerate(media.decode_adpcm(blocks)):
@@ -104,20 +151,50 @@ def test_codecs():
 # 4 language
 
 
-def test_phrases_by_brute_force():
-    samples = {"x": "abracadabra alakazam " * 4, "y": "the quick brown fox jumps " * 4}
-    model = language.Languages(samples)
-    for text in ("abra the foxes", "zzz", "quick cadabra", "a"):
-        codes, _ = model.symbols(text)
-        for k, name in enumerate(model.names):
-            known, _ = model.symbols(language.fold(samples[name])[: language.CHARACTERS])
-            known, count, at = bytes(known), 1, 0
+def test_phrases_by_brute_force(monkeypatch):
+    """Phrases are those of whole texts, over many blocks; also where walks never meet, as in periodic texts."""
+    monkeypatch.setattr(language, "BLOCK", 16)
+    samples = {"x": "abracadabra alakazam " * 4, "y": "the quick brown fox jumps " * 4, "z": "日本語の文字を 学ぶ人は 한국어 " * 5}
+    model, rng = language.Languages(samples), np.random.default_rng(4)
+    parts = ["abra the foxes ", "zzz 1", "quick cadabra", "a", "日本語 の文", "한국", "fox jumps the "]
+    texts = ["", "--", "long " * 60, "a" * 100, "abracadabra alakazam " * 9, *("".join(rng.choice(parts, 20)) for _ in range(60)), *parts]
+    want = {name: [] for name in samples}
+    for text in texts:
+        codes = "".join(map(chr, model.symbols(text)[0]))
+        for name in samples:
+            known, count, at = "".join(map(chr, model.symbol[language.fold(samples[name])])), 1, 0
             for end in range(1, len(codes) + 1):  # a phrase ends where its extension is not found
-                if bytes(codes[at:end]) not in known:
-                    count, at = count + 1, end - 1 if bytes(codes[end - 1 : end]) in known else end
-            block = np.full((language.BLOCK, 1), model.pad, np.int32)
-            block[: len(codes), 0] = codes
-            assert model.phrases(block)[k, 0] == count
+                if codes[at:end] not in known:
+                    count, at = count + 1, end - 1 if codes[end - 1] in known else end
+            want[name].append(count)
+    names, _, rates = model.parse(texts)
+    for i, text in enumerate(texts):
+        if any(c.isalpha() for c in text):
+            cost = [want[n][i] * model.bits[k] for k, n in enumerate(model.names)]
+            assert names[i] == model.names[int(np.argmin(cost))]
+            assert rates[i] == want[names[i]][i] / len(model.symbols(text)[0])
+        else:
+            assert names[i] == "und"
+
+
+def test_letters_lie_below_the_bound():
+    assert not any(chr(k).isalpha() for k in range(language._CODES, 0x110000))
+    assert language.fold("Éa1 2b").tolist() == [0xE9, 0x61, 0, 0x62]
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """70 languages of one script, each with a stock of words of its own."""
+    rng = np.random.default_rng(2)
+    stock = [["".join(map(chr, rng.integers(0x4E00, 0x4F00, 3))) for _ in range(40)] for _ in range(70)]
+    rows = [(70 * j + k, "".join(rng.choice(stock[k], 30)), f"l{k}", None) for j in range(6) for k in range(70)]
+    df = frame(spark, rows)
+    samples = language.learn(language.training_rows(df))
+    assert len(samples) == 70
+    got = language.identify(df.select("doc_id", "lang", "text"), samples).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    monkeypatch.setattr(language, "LABELS", 69)
+    with pytest.raises(ValueError):
+        language.learn(df)
 
 
 def test_language_edges_and_accuracy(spark, odd, empty):
@@ -247,6 +324,46 @@ def test_toxicity_edges_and_accuracy(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def slow_score(model, text):
+    """One window at a time, from the parameters alone; no table of words, no batches."""
+    net = toxicity.Network()
+    net.p = model["p"]
+    forms, best = [toxicity.clean(w) for w in toxicity.split(text)], -np.inf
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for a in toxicity.windows(len(forms)):
+        own = forms[a : a + toxicity.WINDOW] or []
+        states = {}
+        for d in "fb":
+            h, states[d] = np.zeros(toxicity.HIDDEN), [None] * len(own)
+            for t in range(len(own)) if d == "f" else reversed(range(len(own))):
+                found, whole = toxicity.grams([own[t]])
+                tables = [x.astype(np.float32) for x in model["tables"]]
+                x = net.inputs(toxicity.signals(tables, found, whole, 1), whole % toxicity.SMALL, toxicity.characters(found, 1))[0]
+                g, u = x @ net.p[f"W{d}"] + net.p[f"b{d}"], h @ net.p[f"U{d}"]
+                n = toxicity.HIDDEN
+                z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+                h = (1 - z) * h + z * np.tanh(g[2 * n :] + r * u[2 * n :])
+                states[d][t] = h
+        both = np.array([np.r_[f, b] for f, b in zip(states["f"], states["b"], strict=True)]).reshape(len(own), 2 * toxicity.HIDDEN)
+        weight = np.exp(np.tanh(both @ net.p["query"]) @ net.p["value"])
+        pooled = (weight[:, None] * both).sum(0) / weight.sum() if len(own) else np.zeros(2 * toxicity.HIDDEN)
+        best = max(best, pooled @ net.p["out"] + net.p["bias"][0])
+    return 1 / (1 + np.exp(-np.clip(model["slope"] * best + model["shift"], -30, 30)))
+
+
+def test_scores_by_a_slow_scorer_whole_and_in_parts(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = pickle.loads(toxicity.fit(toxicity.training_rows(d), toxicity.training_rows(labels)))
+    some = [r.text or "" for r in d.orderBy("doc_id").limit(12).collect()]
+    texts = ["", "one", *some[:6], " ".join(some)[:9000], " ".join(some).replace(" ", "")[:2000]]
+    want = [slow_score(model, t) for t in texts]
+    assert toxicity.Scorer(model).score(texts) == pytest.approx(want, rel=1e-3, abs=1e-7)
+    for part in (toxicity.WINDOW, 100, 1000):
+        monkeypatch.setattr(toxicity, "PART", part)
+        assert toxicity.Scorer(model).score(texts) == pytest.approx(want, rel=1e-3, abs=1e-7)
+
+
 def test_toxic_passages_late_in_unspaced_texts(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
