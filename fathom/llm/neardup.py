@@ -26,8 +26,10 @@ from fathom.llm.components import components
 SYMBOLS, CHUNKS, BITS = 50, 10, 16
 WIDTH = SYMBOLS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
-#: One-bit values that sift the pairs left after the first round.
+#: One-bit values that may speak for a pair beyond RADIUS after the first round.
 FINE = 2048
+#: Signatures as 64-bit numbers of four symbols each.
+NUMBERS = -(-SYMBOLS * BITS // 64)
 #: Tables of at most so many ids (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 300_000
 CACHED = 400_000
@@ -186,8 +188,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sharpened(sets: DataFrame) -> DataFrame:
-    """(rep, f0, f1, ...): FINE more one-bit MinHash values of each set, 64 to a number."""
-    names = [f"f{i}" for i in range(FINE // 64)]
+    """(rep, g0, ..., f0, ...): each set's signature, four symbols to a number, and FINE more one-bit MinHash values, 64
+    to a number."""
+    names = [f"g{i}" for i in range(NUMBERS)] + [f"f{i}" for i in range(FINE // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,13 +201,26 @@ def sharpened(sets: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for i in range(FINE):
                         bits[:, i] = (mixed(np.minimum.reduceat(flat * _B[0, i] + _B[1, i], np.cumsum(sizes) - sizes)) >> np.uint64(7)) & np.uint64(1)
-                numbers = np.packbits(bits, axis=1).view(np.int64)
+                own = b"".join(x.ljust(8 * NUMBERS, b"\0") for x in signatures(np.split(flat, np.cumsum(sizes)[:-1])))
+                numbers = np.concatenate([np.frombuffer(own, np.int64).reshape(-1, NUMBERS), np.packbits(bits, axis=1).view(np.int64)], 1)
                 arrays = [pa.array(numbers[:, i].copy(), pa.int64()) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), *arrays], names=["rep", *names])
 
     return sets.select("rep", "hashes").mapInArrow(run, "rep bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def within(a: str = "a", b: str = "b"):
+    """Whether two signatures differ in at most RADIUS symbols: of each 16-bit lane of their difference, any bit."""
+
+    def lanes(i: int):
+        x = F.col(f"g{i}_{a}").bitwiseXOR(F.col(f"g{i}_{b}"))
+        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
+
+    return sum((lanes(i) for i in range(NUMBERS)), F.lit(0)) <= RADIUS
+
+
 def close(percent: int, a: str = "a", b: str = "b"):
     """Whether the one-bit values differ no more often than five deviations above a linked pair's mean."""
     p = (1 - percent / 100) / 2
@@ -213,6 +229,11 @@ def close(percent: int, a: str = "a", b: str = "b"):
     return apart <= most
 
 
+def span(percent: int):
+    """A set's size by powers of 100 / percent: linked sets are at most one apart."""
+    return F.floor(F.log("n") / F.lit(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
+
+
 def possible(percent: int, a: str = "a", b: str = "b"):
     """Whether two sets of n shingles, c of them not theirs alone, can be similar enough: what they share is at most
     the lesser c, and what they hold together is the sum of n less that."""
@@ -257,12 +278,13 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     hint = few(open_reps)
     fine = sharpened(sets.join(hint(open_reps.select("rep")), "rep", "left_semi"))
     open_rows = stored(open_keys.join(stored(open_reps.join(fine, "rep")), "rep"))
-    names = ["rep", "n", "c", "component", "keys", *[f"f{i}" for i in range(FINE // 64)]]
-    a = open_rows.where("component <> largest").select("key", "largest", *[F.col(x).alias(f"{x}_a") for x in names])
-    b = open_rows.select("key", *[F.col(x).alias(f"{x}_b") for x in names])
+    names = ["rep", "n", "c", "component", "keys", *[f"g{i}" for i in range(NUMBERS)], *[f"f{i}" for i in range(FINE // 64)]]
+    spans = F.explode(F.sequence(span(percent) - 1, span(percent) + 1)).alias("span")
+    a = open_rows.where("component <> largest").select("key", spans, "largest", *[F.col(x).alias(f"{x}_a") for x in names])
+    b = open_rows.select("key", span(percent).alias("span"), *[F.col(x).alias(f"{x}_b") for x in names])
     once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    pairs = a.join(b, "key").where("component_a <> component_b and (component_b = largest or rep_a < rep_b)")
-    pairs = pairs.where(possible(percent)).where(close(percent)).where(once)
+    pairs = a.join(b, ["key", "span"]).where("component_a <> component_b and (component_b = largest or rep_a < rep_b)")
+    pairs = pairs.where(possible(percent)).where(within() | close(percent)).where(once)
     rest = stored(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
     return found.unionByName(confirmed(rest, sets, percent))
 

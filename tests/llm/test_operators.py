@@ -550,6 +550,36 @@ def test_pigeonhole_keys_meet():
         assert keys(a) & keys(b)
 
 
+def test_distance_of_packed_signatures(spark):
+    """``within`` holds at RADIUS symbols apart and not at one more, wherever and by whichever bits they differ."""
+    r, rows, want = np.random.default_rng(8), [], []
+    pack = lambda s: np.frombuffer(s.tobytes().ljust(8 * neardup.NUMBERS, b"\0"), np.int64).tolist()
+    for i in range(200):
+        a = r.integers(0, 1 << 16, neardup.SYMBOLS).astype(np.uint16)
+        b, apart = a.copy(), int(r.integers(neardup.RADIUS - 2, neardup.RADIUS + 3))
+        b[r.choice(neardup.SYMBOLS, apart, replace=False)] ^= (np.uint16(1) << r.integers(0, 16, apart).astype(np.uint16))
+        rows.append((i, *pack(a), *pack(b)))
+        want.append(apart <= neardup.RADIUS)
+    names = ["i", *(f"g{k}_{x}" for x in "ab" for k in range(neardup.NUMBERS))]
+    got = spark.createDataFrame(rows, ", ".join(f"{x} bigint" for x in names)).select("i", neardup.within().alias("ok")).collect()
+    assert [r.ok for r in sorted(got)] == want
+
+
+def test_boilerplate_shared_by_half(spark):
+    """Links hidden in texts of which half share one long block: equal to brute force over all pairs."""
+    r = np.random.default_rng(9)
+    vocabulary, block, rows = [f"v{i}" for i in range(4000)], " ".join(f"block{i}" for i in range(60)), []
+    while len(rows) < 700:
+        own = r.choice(vocabulary, int(r.integers(5, 60))).tolist()
+        for k in range(int(r.integers(1, 4))):
+            some = list(own)
+            some[int(r.integers(0, len(own)))] = f"edit{k}"
+            text = " ".join(some) if len(rows) % 2 else f"{block} {' '.join(some)}"
+            rows.append((len(rows), text, None, None))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, rows), words=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 90)] + [(200, 201), (201, 202), (202, 200), (5, 5), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
