@@ -409,10 +409,17 @@ def test_language_model(spark, odd, empty):
     assert {r.n_known for r in language_model.score(odd, d.limit(0)).collect()} == {0}
 
 
-def test_probabilities_sum_to_one():
-    text = "the cat sat on the mat and the dog ran to the cat on the mat " * 30
+@pytest.fixture(scope="module")
+def small_model():
+    rng = np.random.default_rng(3)
+    words = [a + b for a in "bcdfghjk" for b in ("at", "in", "op", "un", "ed", "ill")]
+    texts = [" ".join(rng.choice(words, 60)) + " the cat sat on the mat and the dog ran" for _ in range(40)]
     tokens = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
-    model = language_model.train([text] * 3, tokens)
+    return language_model.train(texts, tokens, steps=60), tokens, texts
+
+
+def test_probabilities_sum_to_one(small_model):
+    model, tokens, _ = small_model
     s = language_model.Scorer(model, tokens, {})
     ids, end = s.v.ids(["cat"])[0], s.v.end
     streams = np.array([[end, ids[0], i] for i in range(s.v.size)]).ravel()
@@ -421,34 +428,90 @@ def test_probabilities_sum_to_one():
     assert np.exp(both - first).sum() == pytest.approx(1, abs=1e-3)
 
 
-def test_pairs_of_every_training_text_are_counted(spark, monkeypatch):
+def slow_log_probability(model, stream):
+    """Each id by itself, from all of the one window that has the longest context for it; sums over all branches."""
+    p, tree, d, k = model["p"], model["tree"], language_model.WIDTH, language_model.CLASSES
+    starts, total = range(0, max(1, len(stream) - 1 - language_model.WINDOW + language_model.STRIDE), language_model.STRIDE), 0.0
+    for at in range(len(stream) - 1):
+        first = min(a for a in starts if a <= at < a + language_model.WINDOW)
+        x = np.array([p["E"][model["inputs"][i]] + p["P"][j] for j, i in enumerate(stream[first : at + 1])], float)
+        q, key, v = x[-1] @ p["A"][:, :d], x @ p["A"][:, d : 2 * d], x @ p["A"][:, 2 * d :]
+        weight = np.exp(key @ q / d**0.5 - (key @ q / d**0.5).max())
+        out = (weight / weight.sum()) @ v @ p["O"] + x[-1] @ p["R"]
+        target = stream[at + 1]
+        if not model["has"][target]:
+            total += model["absent"]
+            continue
+        z = out[:k] + p["b"]
+        total += model["present"] + z[model["cls"][target]] - np.log(np.exp(z).sum())
+        for i in range(tree.start[target], tree.start[target] + tree.depth[target]):
+            total -= np.log1p(np.exp(-tree.sign[i] * (out[k:] @ p["N"][tree.node[i]] + p["n"][tree.node[i]])))
+    return total
+
+
+def test_windows_by_a_slow_scorer(small_model):
+    model, tokens, texts = small_model
+    s = language_model.Scorer(model, tokens, {})
+    given = ["", "cat", *texts[:3], " ".join(texts[:4]), "walrus zebra quartz " * 12]
+    streams = [np.r_[s.v.end, np.concatenate([np.zeros(0, np.int64), *s.v.ids(t.split())]), s.v.end].astype(np.int64) for t in given]
+    want = [slow_log_probability(model, x) for x in streams]
+    got = s.log_probabilities(np.concatenate(streams), np.array([len(x) for x in streams]))
+    assert got == pytest.approx(want, rel=1e-4)
+    s.calm = s.calm_head = False
+    assert s.log_probabilities(np.concatenate(streams), np.array([len(x) for x in streams])) == pytest.approx(want, rel=1e-4)
+
+
+def test_steps_lower_the_loss(small_model):
+    model, tokens, texts = small_model
+    before = language_model.train(texts, tokens, steps=0)
+    score = lambda m: language_model.Scorer(m, tokens, {}).score(texts)[4].sum()
+    assert score(model) > score(before)
+    p, r = model["p"], np.random.default_rng(1)
+    some = r.choice(np.flatnonzero(model["has"]), (2, language_model.WINDOW + 1))
+    copy = lambda: {k: v.astype(np.float64) for k, v in p.items()}
+    for name in ("N", "A", "O", "E", "P"):  # the step's direction against differences of the loss
+        own, state = copy(), {}
+        language_model.learn(own, model, some, state, 0.0)
+        g = state[name][0] / 0.1
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        loss = []
+        for move in (1e-5, -1e-5):
+            moved = copy()
+            moved[name][at] += move
+            loss.append(language_model.learn(moved, model, some, {}, 0.0))
+        assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(g[at], rel=2e-2)
+
+
+def test_counts_of_every_training_text(spark, monkeypatch):
     rng = np.random.default_rng(3)
     some = lambda n: " ".join(rng.choice([a + b for a in "bcdfghjk" for b in ("at", "in", "op", "un", "ed", "ill")], n))
     rows = [(i, some(40)) for i in range(30)] + [(90, some(4000) + " walrus zebra quartz" * 20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     tokens = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
-    monkeypatch.setattr(language_model, "SAMPLE", 5)
-    model = language_model.train([t for _, t in rows], tokens)  # all at hand
-    size = language_model.Vocabulary(tokens).size
-    pairs = language_model.Near(*language_model.pairs_in(*language_model.Pieces(tokens).stream([language_model.lowered(t) for _, t in rows])))
+    own = language_model.Pieces(tokens)
+    own.count([language_model.lowered(t) for _, t in rows])
     every = language_model.counted(df, tokens)
-    table = {(r.h >> 20, r.h & language_model.MASK): r.c for r in every.where(F.col("kind") == language_model.PAIR).collect()}
-    assert table == {(p >> 20, p & language_model.MASK): c for p, c in zip(pairs.pair.tolist(), pairs.number.tolist(), strict=True)}
-    far = language_model.Far(every.where(F.col("kind") == language_model.PAIR).select("h", "c"))
-    assert np.array_equal(far.ids(size), pairs.ids(size))
-    ours = language_model.train([t for _, t in rows], tokens, pairs=far, glue=tuple(np.zeros(size) for _ in range(2)))
-    assert np.array_equal(ours["with_class"], model["with_class"]) and np.allclose(ours["inside"], model["inside"])
-    # a score is the same whether pairs are broadcast or joined
-    scores = lambda: {r.doc_id: r.score for r in language_model.score(df, df).collect()}
-    broadcast = scores()
-    monkeypatch.setattr(language_model, "FREQUENT_PAIRS", 3)
-    joined = scores()
-    assert joined == pytest.approx(broadcast, rel=1e-4)
+    got = {r.h: r.c for r in every.where(F.col("kind") == language_model.ID).collect()}
+    assert got == {i: c for i, c in enumerate(own.ids().tolist()) if c}
+    monkeypatch.setattr(language_model, "SAMPLE", 5)
     text = spark.createDataFrame([(1, "walrus zebra quartz"), (2, "badger violin oxygen")], "doc_id bigint, text string")
     found = {r.doc_id: r.score for r in language_model.score(text, df).collect()}
     assert found[1] > found[2] + 1  # words of a text of over LONGEST characters alone, and of none
 
 
+def test_attention_says_more_than_the_last_id(spark):
+    """Held-out texts are likelier by the model than by the base, and than by a model whose attention gathers nothing."""
+    sf = "/root/testdata/sf0.01"
+    d = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rest = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train, held = [t for i, t in d if not rest(i)], [t for i, t in d if rest(i)][:60]
+    tokens = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    model = language_model.train([t[:4000] for t in train], tokens, steps=400)
+    with_it = language_model.Scorer(model, tokens, {}).score(held)[4].sum()
+    blind = model | {"p": model["p"] | {"A": model["p"]["A"] * (np.arange(3 * language_model.WIDTH) < 2 * language_model.WIDTH).astype(np.float32)}}
+    assert with_it > language_model.Scorer(blind, tokens, {}).score(held)[4].sum()
+
+
 # 9 mixing
 
 
