@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import numpy as np
 from fathom.llm.common import held, on_one_thread
 
 #: Words kept by a worker, about 200 bytes each. When full, all but those of the texts at hand are forgotten.
-CACHED = 400_000
+CACHED = 300_000
 #: Longer texts are split at a space after about so many characters.
 PART = 1 << 20
 
@@ -34,7 +35,7 @@ def parts(text: str, size: int = PART) -> Iterator[list[str]]:
 
 
 #: A word the fast path may take: letters whose lower case and normal form are themselves, then ASCII marks.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS, MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,7 +46,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def piece_encoder(tokenizer_json: str):
-    """Ids of one lower-case piece, for byte-level vocabularies whose ids are in merge order; None for others.
+    """Ids of one lower-case piece, given as UTF-8, for byte-level vocabularies whose ids are in merge order; None for others.
 
     The end of a word is written as byte FF, which UTF-8 never has.
     """
@@ -60,8 +61,8 @@ def piece_encoder(tokenizer_json: str):
         if token not in added:
             last = token.endswith("</w>") and token != "</w>"
             ranks[bytes(letters[c] for c in (token[:-4] if last else token)) + (b"\xff" if last else b"")] = number
-    encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    return lambda piece: np.array(encode(piece.encode() + b"\xff"), "<u4").tobytes()
+    encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda piece: array("I", encode(piece + b"\xff")).tobytes()  # as little-endian as numpy's own
 
 
 class WordIds:
@@ -82,19 +83,22 @@ class WordIds:
             self.pieces = {"": b""}
         rest, known, pieces, piece = [], self.known, self.pieces, self.piece
         for w in words:
-            if not (m := PLAIN.fullmatch(w)):
+            letters = w.rstrip(MARKS)
+            if not (letters.isascii() and letters.isalpha() or LETTERS.fullmatch(letters)):
                 rest.append(w)
                 continue
-            letters, marks = m[1].lower(), m[2]
+            marks, letters = w[len(letters) :], letters.lower()
             if (a := pieces.get(letters)) is None:
-                a = pieces[letters] = piece(letters)
-            if (b := pieces.get(marks)) is None:
-                b = pieces[marks] = piece(marks)
-            known[w] = a + b
+                a = pieces[letters] = piece(letters.encode())
+            if marks:
+                if (b := pieces.get(marks)) is None:
+                    b = pieces[marks] = piece(marks.encode())
+                a += b
+            known[w] = a
         return rest
 
     def learn(self, words: set[str]) -> None:
-        missing = sorted(words - self.known.keys())
+        missing = list(words - self.known.keys())
         if len(self.known) + len(missing) > self.cached:
             self.known = {w: self.known[w] for w in words if w in self.known} | {"": b""}
         missing = self.plain(missing)

@@ -409,6 +409,9 @@ def test_language_model(spark, odd, empty):
     assert {r.n_known for r in language_model.score(odd, d.limit(0)).collect()} == {0}
 
 
+NONE = (np.zeros(0, np.uint64), np.zeros(0))
+
+
 @pytest.fixture(scope="module")
 def small_model():
     rng = np.random.default_rng(3)
@@ -420,7 +423,7 @@ def small_model():
 
 def test_probabilities_sum_to_one(small_model):
     model, tokens, _ = small_model
-    s = language_model.Scorer(model, tokens, {})
+    s = language_model.Scorer(model, tokens, NONE)
     ids, end = s.v.ids(["cat"])[0], s.v.end
     streams = np.array([[end, ids[0], i] for i in range(s.v.size)]).ravel()
     both = s.log_probabilities(streams, np.full(s.v.size, 3))
@@ -437,7 +440,7 @@ def slow_log_probability(model, stream):
         x = np.array([p["E"][model["inputs"][i]] + p["P"][j] for j, i in enumerate(stream[first : at + 1])], float)
         q, key, v = x[-1] @ p["A"][:, :d], x @ p["A"][:, d : 2 * d], x @ p["A"][:, 2 * d :]
         weight = np.exp(key @ q / d**0.5 - (key @ q / d**0.5).max())
-        out = (weight / weight.sum()) @ v @ p["O"] + x[-1] @ p["R"]
+        out = (weight / weight.sum()) @ v @ p["O"] + p["E"][model["inputs"][stream[at]]] @ p["R"]
         target = stream[at + 1]
         if not model["has"][target]:
             total += model["absent"]
@@ -451,7 +454,7 @@ def slow_log_probability(model, stream):
 
 def test_windows_by_a_slow_scorer(small_model):
     model, tokens, texts = small_model
-    s = language_model.Scorer(model, tokens, {})
+    s = language_model.Scorer(model, tokens, NONE)
     given = ["", "cat", *texts[:3], " ".join(texts[:4]), "walrus zebra quartz " * 12]
     streams = [np.r_[s.v.end, np.concatenate([np.zeros(0, np.int64), *s.v.ids(t.split())]), s.v.end].astype(np.int64) for t in given]
     want = [slow_log_probability(model, x) for x in streams]
@@ -464,7 +467,7 @@ def test_windows_by_a_slow_scorer(small_model):
 def test_steps_lower_the_loss(small_model):
     model, tokens, texts = small_model
     before = language_model.train(texts, tokens, steps=0)
-    score = lambda m: language_model.Scorer(m, tokens, {}).score(texts)[4].sum()
+    score = lambda m: language_model.Scorer(m, tokens, NONE).score(texts)[4].sum()
     assert score(model) > score(before)
     p, r = model["p"], np.random.default_rng(1)
     some = r.choice(np.flatnonzero(model["has"]), (2, language_model.WINDOW + 1))
@@ -488,17 +491,35 @@ def test_counts_of_every_training_text(spark, monkeypatch):
     rows = [(i, some(40)) for i in range(30)] + [(90, some(4000) + " walrus zebra quartz" * 20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     tokens = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
-    own = language_model.Pieces(tokens)
-    own.count([language_model.lowered(t) for _, t in rows])
-    every = language_model.counted(df, tokens)
-    got = {r.h: r.c for r in every.where(F.col("kind") == language_model.ID).collect()}
-    assert got == {i: c for i, c in enumerate(own.ids().tolist()) if c}
+    words = Counter(w for _, t in rows for w in language_model.lowered(t))
+    every = language_model.counted(df)
+    assert {bytes(r.word): r.c for r in every.collect()} == words
+    tok = Tokenizer.from_str(tokens)
+    want = Counter(i for _, t in rows for i in tok.encode(t, add_special_tokens=False).ids)
+    got = {r.h: r.c for r in language_model.tallied(every, tokens).where(F.col("kind") == language_model.ID).groupBy("h").agg(F.sum("c").alias("c")).collect()}
+    assert got == want
     monkeypatch.setattr(language_model, "SAMPLE", 5)
     text = spark.createDataFrame([(1, "walrus zebra quartz"), (2, "badger violin oxygen")], "doc_id bigint, text string")
     found = {r.doc_id: r.score for r in language_model.score(text, df).collect()}
     assert found[1] > found[2] + 1  # words of a text of over LONGEST characters alone, and of none
 
 
+def test_words_are_forgotten_and_met_again(small_model, monkeypatch):
+    model, tokens, texts = small_model
+    odd = ["Éa, œuf! naïve…", "日本 x", "a" * 300, "ABC-def's (q)", "\u2003 ß İ"]
+    given = [*texts[:5], *odd, *texts[5:10], *odd]
+    want = language_model.Scorer(model, tokens, NONE).score(given)
+    s = language_model.Scorer(model, tokens, NONE)
+    monkeypatch.setattr(language_model, "CACHED", 10)
+    got = [s.score([t]) for t in given]
+    for i in (0, 1, 2, 4):
+        assert np.concatenate([g[i] for g in got]) == pytest.approx(want[i])
+    assert all(np.array_equal(g[3][0], w) for g, w in zip(got, want[3], strict=True))
+    tok = Tokenizer.from_str(tokens)
+    for w in {w for t in given for w in language_model.lowered(t)}:
+        assert s.v.ids([w.decode()])[0].tolist() == tok.encode(w.decode(), add_special_tokens=False).ids
+
+
 def test_attention_says_more_than_the_last_id(spark):
     """Held-out texts are likelier by the model than by the base, and than by a model whose attention gathers nothing."""
     sf = "/root/testdata/sf0.01"
@@ -507,9 +528,9 @@ def test_attention_says_more_than_the_last_id(spark):
     train, held = [t for i, t in d if not rest(i)], [t for i, t in d if rest(i)][:60]
     tokens = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     model = language_model.train([t[:4000] for t in train], tokens, steps=400)
-    with_it = language_model.Scorer(model, tokens, {}).score(held)[4].sum()
+    with_it = language_model.Scorer(model, tokens, NONE).score(held)[4].sum()
     blind = model | {"p": model["p"] | {"A": model["p"]["A"] * (np.arange(3 * language_model.WIDTH) < 2 * language_model.WIDTH).astype(np.float32)}}
-    assert with_it > language_model.Scorer(blind, tokens, {}).score(held)[4].sum()
+    assert with_it > language_model.Scorer(blind, tokens, NONE).score(held)[4].sum()
 
 
 # 9 mixing
