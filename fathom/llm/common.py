@@ -19,7 +19,7 @@ SLICE_BYTES = 4 << 20
 
 #: Bytes of an Arrow batch sent to a worker, where the session keeps Spark's default of 64 MB.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

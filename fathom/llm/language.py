@@ -283,7 +283,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(("languages", hash(sent.value)), lambda: pickle.loads(sent.value))  # noqa: S301
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 names, scores, rates = model.parse(texts(part, text_col))
                 added = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + added, names=[*kept, "lang_pred", "score", "phrase_rate"])

@@ -32,7 +32,7 @@ FINE = 2048
 NUMBERS = -(-SYMBOLS * BITS // 64)
 #: Tables of at most so many ids (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 300_000
-CACHED = 400_000
+CACHED = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _B = np.random.default_rng(20240502).integers(1 << 32, 1 << 63, (2, FINE), np.uint64) | np.uint64(1)
 _A = np.random.default_rng(20240501).integers(1 << 32, 1 << 63, (2, SYMBOLS), np.uint64) | np.uint64(1)
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingler(size).sets([x or "" for x in part.column("text").to_pylist()])
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 arrays = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures(sets), pa.binary())]
@@ -118,7 +118,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingler(size).sets([x or "" for x in part.column("text").to_pylist()])
                 arrays = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["rep", "n", "hashes"])
@@ -131,7 +131,7 @@ def one_by_one(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "hashes", 4 << 20):
+            for part in slices(batch, "hashes", 2 << 20):
                 raw = part.column("hashes").to_pylist()
                 sizes = [len(x) // 8 for x in raw]
                 flat = np.frombuffer(b"".join(raw), np.int64)

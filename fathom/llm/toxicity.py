@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 #: Characters of a word that are looked up as one; longer words are cut at marks, then into pieces.
 LONG, PIECE = 64, 16
 #: Words a worker keeps, about 400 bytes each; texts of more words than PART are read in parts of so many.
-CACHED, PART = 250_000, 1 << 18
+CACHED, PART = 100_000, 1 << 16
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _SPACED = str.maketrans(MARKS, " " * len(MARKS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -340,10 +340,13 @@ class Scorer:
         self.known = 1  # row 0 is padding
 
     def look_up(self, lists: list[list[str]]) -> list[np.ndarray]:
-        new = list(set().union(*lists) - self.number.keys())
-        if self.known + len(new) > CACHED:
-            self.forget()
-            new = list(set().union(*lists))
+        every = set().union(*lists)
+        new = list(every - self.number.keys())
+        if self.known + len(new) > CACHED:  # only the words at hand are kept, the common ones among them
+            kept = [w for w in every if w in self.number]
+            rows = np.fromiter(map(self.number.__getitem__, kept), np.int64, len(kept))
+            self.gates = {d: np.concatenate([np.zeros((1, 3 * HIDDEN), np.float32), g[rows]]) for d, g in self.gates.items()}
+            self.number, self.known = dict(zip(kept, range(1, len(kept) + 1), strict=True)), len(kept) + 1
         if new:
             forms = [clean(w) for w in new]
             found, whole = grams(forms)
@@ -428,7 +431,7 @@ def score(docs: DataFrame, model: bytes, *, text_col: str = "text", threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = scorer(sent.value)
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 found = net.score(texts(part, text_col))
                 added = [pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + added, names=[*kept, "score", "predicted"])
