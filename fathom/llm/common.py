@@ -17,14 +17,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-#: Bytes of an Arrow batch sent to a worker, where the session keeps Spark's default of 64 MB.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20
+#: What is held of long texts at once, where the session keeps Spark's defaults: bytes of an Arrow batch, rows of a scan's.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{2 << 20}b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Small batches in this session; settings of its own are left alone."""
+    for key, (default, ours) in BOUNDS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get(BATCH, "67108864b") == "67108864b":
-        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
