@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import language, mixing, neardup, packing, toxicity
-from fathom.llm.common import stored, table
+from fathom.llm.common import bounded, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a learned language: those without letters go, and those that no language explains."""
+    bounded(spark)
     samples = language.learn(language.training_rows(docs))
     found = language.identify(docs.select(*COLUMNS), samples)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("phrase_rate") < language.FOREIGN)).select(*COLUMNS)
