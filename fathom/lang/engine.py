@@ -89,7 +89,11 @@ class Engine:
         return tx.meta(f"points.{name}")["metric"]
 
     def vector(self, tx: Transaction, name: str, given, using: str | None = None) -> list[float]:
-        return given if isinstance(given, list) else dense.stored_vector(self.points(tx, name), given, using)
+        if not isinstance(given, list):
+            return dense.stored_vector(self.points(tx, name), given, using)
+        dim = tx.meta(f"points.{name}")["dim"]
+        require(using is not None or len(given) == dim, "dimension_mismatch", f"{name} has {dim} dimensions, not {len(given)}")
+        return given
 
     def _create(self, tx: Transaction, s: Statement) -> Result:
         name = s.collection

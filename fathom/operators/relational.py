@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.constants import SQL_BYTES, SQL_DEPTH
@@ -137,4 +138,11 @@ def select(spark: SparkSession, sql: str, parameters: Sequence = (), tables: Map
     text = statement(sql, strict)
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text, args={f"p{i}": v for i, v in enumerate(parameters, 1)} or None)
+    try:  # names are resolved here, so no later statement sees these tables
+        return spark.sql(text, args={f"p{i}": v for i, v in enumerate(parameters, 1)} or None)
+    except AnalysisException as e:
+        require(e.getCondition() != "TABLE_OR_VIEW_NOT_FOUND", "42P01", str(e).split("\n")[0])
+        raise
+    finally:
+        for name in tables or {}:
+            spark.catalog.dropTempView(name)

@@ -116,19 +116,52 @@ def structural_check(spark, sf_dir):
     return changes.zero_vectors(p.unionByName(odd)).select("id")
 
 
-@query("ml_tree_view")
+ML_SOURCE = """
+WITH rows AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_size % 8 END AS f, p_brand AS g FROM part),
+known AS (SELECT *, p_partkey % 4 <> 0 AND f IS NOT NULL AS labelled FROM rows),
+middle AS (SELECT quantile_disc(f, 0.5) AS m FROM known WHERE labelled)
+"""
+
+
+def ml_source(spark, sf_dir, target):
+    """Parts with a feature of eight values that settles the target, missing in places; every fourth row has no label."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_size") % 8).alias("f"), F.col("p_brand").alias("g"))
+    return p.withColumn("y", F.when((F.col("p_partkey") % 4 != 0) & F.col("f").isNotNull(), target))
+
+
+@query("ml_tree_view", ML_SOURCE + """
+SELECT p_partkey, f, CASE WHEN labelled THEN v END AS actual, CASE WHEN coalesce(f, m) <= 2 THEN 'low' WHEN coalesce(f, m) <= 5 THEN 'mid' ELSE 'high' END AS prediction, 1.0::DOUBLE AS confidence, 1 AS refresh_version
+FROM (SELECT *, CASE WHEN f <= 2 THEN 'low' WHEN f <= 5 THEN 'mid' ELSE 'high' END AS v FROM known), middle""")
 def ml_tree_view(spark, sf_dir):
-    """Quality of documents predicted for those without a label. Trees differ between libraries, so rows only."""
+    """A tree must find the rule that made the labels; a missing number counts as the labelled rows' median."""
+    from fathom.operators import views
+
+    rule = F.when(F.col("f") <= 2, "low").when(F.col("f") <= 5, "mid").otherwise("high")
+    return views.view(ml_source(spark, sf_dir, rule), ["p_partkey"], "y", ["f"], using="decision_tree")
+
+
+@query("ml_tree_regression", ML_SOURCE + """
+SELECT p_partkey, f, CASE WHEN labelled THEN 10.0 * f END AS actual, 10.0 * coalesce(f, m) AS prediction, NULL::DOUBLE AS confidence, 1 AS refresh_version FROM known, middle""")
+def ml_tree_regression(spark, sf_dir):
     from fathom.operators import views
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    rows = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return views.view(rows, ["doc_id"], "quality", ["n_chars", "lang"], using="decision_tree")
+    out = views.view(ml_source(spark, sf_dir, F.col("f") * 10.0), ["p_partkey"], "y", ["f"], task="regression", using="decision_tree")
+    return out.withColumn("prediction", F.round("prediction", 6))
 
 
-@query("ml_forest_regression")
+@query("ml_forest_regression", """
+SELECT count(*) AS n, count(*) FILTER (p_partkey % 4 = 0) AS unlabelled, true AS in_range, true AS near FROM part""")
 def ml_forest_regression(spark, sf_dir):
+    """A forest's trees differ between libraries, so what must hold of any: predictions of all rows, within the labels'
+    range and nearer to the labels than their mean is."""
     from fathom.operators import views
 
-    p = table(spark, sf_dir, "part").withColumn("price", F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")))
-    return views.view(p, ["p_partkey"], "price", ["p_size", "p_brand", "p_type"], task="regression")
+    p = table(spark, sf_dir, "part").withColumn("y", F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") * 2.0 + F.length("p_brand")))
+    out = views.view(p, ["p_partkey"], "y", ["p_size", "p_brand", "p_type"], task="regression")
+    known = out.agg(F.min("actual").alias("low"), F.max("actual").alias("high"), F.avg("actual").alias("mean"))
+    both = out.crossJoin(F.broadcast(known))  # one row
+    return both.agg(
+        F.count("*").alias("n"), F.count_if(F.col("actual").isNull()).alias("unlabelled"),
+        F.bool_and(F.col("prediction").between(F.col("low") - 1e-9, F.col("high") + 1e-9)).alias("in_range"),
+        (F.sum((F.col("prediction") - F.col("actual")) ** 2) < F.sum((F.col("actual") - F.col("mean")) ** 2)).alias("near"),
+    )
