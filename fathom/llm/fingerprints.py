@@ -19,7 +19,7 @@ from fathom.llm.common import table
 THIRD = 10
 #: Texts of at least so many characters would be cut at line ends only: none, as Spark's have less.
 FINE = 1 << 31
-ROUNDS = 12
+ROUNDS = 6
 #: Digests of both sides that share a sketch when a fingerprint's own cells don't suffice.
 GROUP = 10
 LINES, SENTENCES = r"[\r\n]+", r"[.!?\r\n][.!? \t\r\n]*"
@@ -112,8 +112,8 @@ def peeled(left: Column, third: Column) -> Column:
 def compared(ours: Column, theirs: Column, first: Column) -> Column:
     """The difference of two sets of digests; ``first`` is what their fingerprints gave.
 
-    Where that is stuck, the digests are dealt by hash to groups of about ``GROUP``, each with a sketch of twice as
-    many cells as it has digests; sketches are linear, so one of digests signed +1 and -1 is the two sides' difference.
+    Where that is stuck, the digests of both are cut, in their order, into groups of about ``GROUP``, each with a sketch
+    of more cells than it has digests; sketches are linear, so one of digests signed +1 and -1 is the two sides' difference.
     A group that is stuck again is tried with four times as many, and then compared digest by digest.
     """
 
@@ -130,22 +130,19 @@ def compared(ours: Column, theirs: Column, first: Column) -> Column:
 
     def one(group: Column) -> Column:
         larger = lambda: let(tried(group, 4.0), lambda d: F.when(d["done"], d).otherwise(exact(group)))
-        return let(tried(group, 2.0), lambda d: F.when(d["done"], d).otherwise(larger()))
+        return let(tried(group, 1.5), lambda d: F.when(d["done"], d).otherwise(larger()))
 
     def second() -> Column:
-        both = F.concat(signed(ours, 1), signed(theirs, -1))
-        groups = F.ceil(F.size(both) / F.lit(GROUP)).cast("int")
-        dealt = F.array_sort(F.transform(both, lambda e: F.struct(F.pmod(e["k"], groups).cast("int").alias("g"), e["k"].alias("k"), e["n"].alias("n"))))
-        nothing = F.array().cast("array<struct<k:bigint,n:int>>")
-        start = F.struct(F.array().cast("array<array<struct<k:bigint,n:int>>>").alias("full"), nothing.alias("now"), F.lit(0).alias("g"))
-
-        def gather(state: Column, e: Column) -> Column:
-            own = F.array(F.struct(e["k"].alias("k"), e["n"].alias("n")))
-            return F.when(
-                e["g"] == state["g"], F.struct(state["full"].alias("full"), F.concat(state["now"], own).alias("now"), e["g"].alias("g"))
-            ).otherwise(F.struct(F.concat(state["full"], F.array(state["now"])).alias("full"), own.alias("now"), e["g"].alias("g")))
-
-        parts = F.aggregate(dealt, start, gather, lambda s: F.concat(s["full"], F.array(s["now"])))
+        both = F.sort_array(F.concat(signed(ours, 1), signed(theirs, -1)))
+        last = F.greatest(F.ceil(F.size(both) / F.lit(GROUP)).cast("int") - 1, F.lit(0))
+
+        def cut(all_of: Column) -> Column:
+            # a digest of both sides stands there twice, side by side, and stays in one group
+            same = lambda i: F.coalesce((F.get(all_of, i * GROUP)["k"] == F.get(all_of, i * GROUP - 1)["k"]).cast("int"), F.lit(0))
+            start = lambda i: i * GROUP + same(i)
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_of, start(i) + 1, start(i + 1) - start(i)))
+
+        parts = let(both, cut)
         zero = F.struct(F.lit(True).alias("done"), F.lit(0).alias("only_ours"), F.lit(0).alias("only_theirs"))
         return F.aggregate(
             F.transform(parts, one), zero,
