@@ -17,12 +17,10 @@ from fathom.llm.common import table
 
 #: Cells in each third of a fingerprint.
 THIRD = 10
-#: Texts of at least so many characters would be cut at line ends only: none, as Spark's have less.
-FINE = 1 << 31
 ROUNDS = 6
 #: Digests of both sides that share a sketch when a fingerprint's own cells don't suffice.
 GROUP = 10
-LINES, SENTENCES = r"[\r\n]+", r"[.!?\r\n][.!? \t\r\n]*"
+SENTENCES = r"[.!?\r\n][.!? \t\r\n]*"
 
 
 def let(value: Column, body) -> Column:

@@ -262,7 +262,7 @@ def test_fingerprints_by_brute_force(spark, odd, empty):
     df = frame(spark, rows)
     got = fingerprints.fingerprints(df).collect()
     assert len(got) == len(rows)
-    cut = lambda t, fine: {u for u in re.split(fingerprints.SENTENCES if fine else fingerprints.LINES, t) if u.strip(" ")}
+    cut = lambda t: {u for u in re.split(fingerprints.SENTENCES, t) if u.strip(" ")}
     jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     order = sorted(((d if d is not None else -(1 << 63), t or "") for d, t, *_ in rows), reverse=True)
     want = Counter()
@@ -270,9 +270,7 @@ def test_fingerprints_by_brute_force(spark, odd, empty):
         after = order[(i + 1) % len(order)][1]
         k = len(text) // 3
         edited = text[: len(text) - k] + after[:k]
-        fine, efine = len(text) < fingerprints.FINE, len(edited) < fingerprints.FINE
-        near = jaccard(cut(text, fine), cut(edited, fine)) if fine == efine else jaccard(cut(text, True), cut(edited, True))
-        own_next = jaccard(cut(text, fine), cut(after, len(after) < fingerprints.FINE))
+        near, own_next = jaccard(cut(text), cut(edited)), jaccard(cut(text), cut(after))
         want[(doc, hashlib.sha256(edited.encode()).hexdigest(), round(near, 9), round(own_next, 9))] += 1
     assert Counter((r.doc_id if r.doc_id is not None else -(1 << 63), r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     assert len({r.fingerprint for r in got if r.doc_id in (1, 8)}) == 1
