@@ -16,7 +16,7 @@ import numpy as np
 from fathom.llm.common import held, on_one_thread
 
 #: Words kept by a worker, about 200 bytes each. When full, all but those of the texts at hand are forgotten.
-CACHED = 250_000
+CACHED = 450_000
 #: Longer texts are split at a space after about so many characters.
 PART = 1 << 20
 
