@@ -6,9 +6,12 @@ id of the vocabulary has a probability that follows from attention, and they sum
 share a probability of their own. Whether an id begins a new word or is glued to the last is scored too, as are words
 that differ from their normal form. Windows overlap; each id is scored once, where it has the longest context.
 
-Words, ids and glued ids are counted over every training text, and make the trees, the first values of all biases and
-the probability of unseen ids; the network's gradient steps are taken on a sample. Counts of the most frequent words go
-to every worker; others are joined by shuffle, so no table of words is held in one place.
+Words, ids, glued ids and the ids' neighbours are counted over every training text, and make the classes, the trees, the
+first values of all biases and the probability of unseen ids. The network's first steps are taken on a sample, where the
+driver finds a start; then every id of every training text is predicted in a step: texts are dealt to shards by a hash,
+each shard takes steps from that start, and each parameter moves by the shards' mean, weighted by how often they used it.
+Counts of the most frequent words go to every worker; others are joined by shuffle, so no table of words is held in one
+place.
 """
 
 from __future__ import annotations
@@ -28,15 +31,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc_remainder, held, least_hashes, slices, stored, table
+from fathom.llm.common import crc_remainder, discard, held, least_hashes, slices, stored, table
 from fathom.llm.words import LETTERS, MARKS, WordIds
 
-#: Bounds of the sample for the network's steps: documents by least checksum, a window of LONGEST characters of each.
+#: Bounds of the sample for the network's first steps: documents by least checksum, a window of LONGEST characters of each.
 SAMPLE, LONGEST, STEPS, BATCH = 1500, 8000, 1200, 64
 WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 28, 32, 64, 2048
+#: Ids of a shard, of which POOL are mixed at a time; rows of a parameter that are averaged together.
+SHARD, POOL, ROWS = 3_000_000, 400_000, 64
 #: Words whose counts are broadcast, 16 bytes each, at most.
 FREQUENT = 800_000
 #: Windows scored at once.
@@ -171,15 +177,21 @@ def streamed(vocabulary: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.n
     return between_ends(np.frombuffer(b"".join(raw), "<u4").astype(np.int64), tokens, vocabulary.end), tokens + 2, tally
 
 
-def neighbours(stream: np.ndarray, sizes: np.ndarray, common: np.ndarray, size: int) -> np.ndarray:
-    """(size, 2 * common + 2): how often each id stood after and before each of the common ids, or another one."""
+def neighbours(stream: np.ndarray, sizes: np.ndarray, common: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each id stood after and before each of the common ids, or another one: keys id * (2 * common + 2) +
+    place, and counts of those there are."""
     n, place = len(common), np.full(size, len(common))
     place[common] = np.arange(n)
     inner = np.ones(max(len(stream) - 1, 0), bool)
     inner[np.cumsum(sizes)[:-1] - 1] = False
     before, now = stream[:-1][inner], stream[1:][inner]
-    out = np.bincount(now * (2 * n + 2) + place[before], minlength=size * (2 * n + 2))
-    return (out + np.bincount(before * (2 * n + 2) + n + 1 + place[now], minlength=len(out))).reshape(size, 2 * n + 2)
+    return np.unique(np.r_[now * (2 * n + 2) + place[before], before * (2 * n + 2) + n + 1 + place[now]], return_counts=True)
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    keys, own = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(own, counts, len(keys)).astype(np.int64)
 
 
 class Trees(NamedTuple):
@@ -238,10 +250,10 @@ def least_count(rows: DataFrame, most: int) -> int:
 
 def train(
     given: list[str], tokenizer_json: str, seed: int = 5, counts: np.ndarray | None = None,
-    glue: tuple[np.ndarray, np.ndarray] | None = None, steps: int = STEPS,
+    glue: tuple[np.ndarray, np.ndarray] | None = None, steps: int = STEPS, near: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> dict:
-    """The model as plain arrays: trees and biases from ``counts`` of ids and ``glue`` (of the given texts, where there are
-    none), steps on the given texts. Without texts every id is as likely as another."""
+    """The model as plain arrays: trees and biases from ``counts`` of ids and ``glue``, classes from ``near`` (of the given
+    texts, where there are none), steps on the given texts. Without texts every id is as likely as another."""
     v, rng = Vocabulary(tokenizer_json), np.random.default_rng(seed)
     stream, sizes, own = streamed(v, given)
     counts = (own.ids + np.where(np.arange(v.size) == v.end, len(given), 0) if counts is None else counts).astype(float)
@@ -251,16 +263,20 @@ def train(
     # ids that no text has share what ids seen once have
     unseen = float((1 + (counts == 1).sum()) / (counts.sum() + 2)) if (counts == 0).any() else 0.0
     absent = math.log(unseen / (counts == 0).sum()) if unseen else 0.0
-    # classes: the commonest ids alone, others by their neighbours in the sample
+    # classes: the commonest ids alone, others by their neighbours
     order = np.argsort(-counts, kind="stable")
     alone, seen = CLASSES // 2, int((counts > 0).sum())
     cls = np.full(v.size, CLASSES - 1, np.int64)
     cls[order[:alone]] = np.arange(alone)
     tail = order[alone:seen]
     if len(tail):
-        near = neighbours(stream, sizes, order[:COMMON], v.size)[tail].astype(np.float32)
-        cls[tail] = alone + clustered(near, counts[tail], CLASSES - alone, seed)
-        del near
+        keys, times = near or neighbours(stream, sizes, order[:COMMON], v.size)
+        row, wide = np.full(v.size, -1), 2 * len(order[:COMMON]) + 2
+        row[tail] = np.arange(len(tail))
+        some, beside = row[keys // wide] >= 0, np.zeros((len(tail), wide), np.float32)
+        beside[row[keys[some] // wide], keys[some] % wide] = times[some]
+        cls[tail] = alone + clustered(beside, counts[tail], CLASSES - alone, seed)
+        del beside
     tree = trees(counts, cls)
     inputs = INPUTS + cls
     inputs[order[:INPUTS]] = np.arange(INPUTS)
@@ -299,53 +315,139 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, calm: bool = False) -
     return s, np.matmul(s, v)
 
 
-def learn(p: dict, model: dict, some: np.ndarray, state: dict, rate: float) -> float:
-    """One Adam step on (n, WINDOW + 1) ids; gives the mean loss of an id. Ids without a count are not predicted."""
-    given, target = model["inputs"][some[:, :-1]], some[:, 1:]
-    cls, tree, has = model["cls"][target], model["tree"], model["has"][target]
-    e = p["E"][given]
-    x = e + p["P"]
-    qkv = x @ p["A"]
+def softened(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Softmax of the last axis in place, of what is ``seen``; what is far below the highest of all counts as e ** -80 of it."""
+    x -= x.max()
+    np.exp(np.maximum(x, -80, out=x), out=x)
+    if seen is not None:
+        x *= seen
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
+    return x
+
+
+def summed(x: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers there are in ``by``, sums of the rows of each, and how many they are."""
+    order = np.argsort(by, kind="stable")
+    keys = by[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    sums = np.add.reduceat(x.take(order, 0), first, axis=0) if len(first) else x[:0]
+    return keys[first], sums, np.diff(np.r_[first, len(keys)])
+
+
+_SEEN = np.tri(WINDOW, dtype=np.float32)
+
+
+def gradients(p: dict, model: dict, some: np.ndarray, real: np.ndarray | None = None) -> tuple[dict, float, int]:
+    """Of the mean loss of an id, for (n, WINDOW + 1) ids: by parameter its rows (None: all), their gradients and how often
+    each was used; the loss; and the number of ids. Ids without a count, or that are not ``real``, are not predicted."""
+    n, tree, kind = len(some), model["tree"], p["E"].dtype.type
+    given, target = model["inputs"][some[:, :-1]].ravel(), some[:, 1:].ravel()
+    own, cls, has = np.arange(len(target)), model["cls"][target], model["has"][target]
+    has = has if real is None else has & real.ravel()
+    total, scale = max(1, int(has.sum())), kind(WIDTH**-0.5)
+    e = p["E"].take(given, 0)
+    x = (e.reshape(n, -1, WIDTH) + p["P"]).reshape(-1, WIDTH)
+    qkv = (x @ p["A"]).reshape(n, -1, 3 * WIDTH)
     q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-    s, a = attention(q * np.float32(WIDTH**-0.5), k, v)
-    both = e @ p["R"] + a @ p["O"]
-    z, t = both[..., :CLASSES] + p["b"], both[..., CLASSES:].reshape(-1, WIDTH)
-    z -= z.max(-1, keepdims=True)
-    y = np.exp(z)
-    y /= y.sum(-1, keepdims=True)
-    own, total = np.take_along_axis(y, cls[..., None], -1), max(1, int(has.sum()))
-    loss = -(np.log(own[..., 0] + 1e-12) * has).sum()
-    np.put_along_axis(y, cls[..., None], own - 1, -1)
-    flat = target.ravel()
-    depth = tree.depth[flat]
-    at, of = spread(tree.start[flat], depth), np.repeat(np.arange(len(flat)), depth)
-    node, sign = tree.node[at], tree.sign[at]
-    odds = sign * (np.einsum("nd,nd->n", t[of], p["N"][node]) + p["n"][node])
+    q = q * scale
+    s = softened(np.matmul(q, k.transpose(0, 2, 1)), _SEEN)
+    a = np.matmul(s, v).reshape(-1, WIDTH)
+    z = e @ p["R"]
+    z += a @ p["O"]
+    # classes, then branches
+    y, t = softened(z[:, :CLASSES] + p["b"]), np.ascontiguousarray(z[:, CLASSES:])
+    loss = -(np.log(y[own, cls] + 1e-12) * has).sum()
+    y[own, cls] -= 1
+    y *= (has / kind(total)).astype(kind)[:, None]
+    depth = np.where(has, tree.depth[target], 0)
+    way, of = spread(tree.start[target], depth), np.repeat(own, depth)
+    node, sign = tree.node[way], tree.sign[way]
+    states, branches = t.take(of, 0), p["N"].take(node, 0)
+    odds = sign * (np.einsum("nd,nd->n", states, branches) + p["n"][node])
     miss = 1 / (1 + np.exp(np.clip(odds, -60, 60)))
     loss -= np.log(1 - miss + 1e-12).sum()
-    step = (-sign * miss / total).astype(np.float32)
-    dt, g = np.zeros_like(t), {"N": np.zeros_like(p["N"]), "n": np.bincount(node, step, len(p["n"])).astype(np.float32)}
-    np.add.at(dt, of, step[:, None] * p["N"][node])
-    np.add.at(g["N"], node, step[:, None] * t[of])
-    dz = np.concatenate([y * has[..., None] / total, dt.reshape(*y.shape[:2], WIDTH)], -1).astype(np.float32)
-    g["b"], g["O"], g["R"] = dz[..., :CLASSES].sum((0, 1)), np.einsum("nti,ntj->ij", a, dz, optimize=True), np.einsum("nti,ntj->ij", e, dz, optimize=True)
-    da = dz @ p["O"].T
+    step = (-sign * miss / total).astype(kind)
+    branches *= step[:, None]
+    states *= step[:, None]
+    dz, deep = np.zeros_like(z), depth > 0
+    dz[:, :CLASSES] = y
+    if len(of):
+        dz[deep, CLASSES:] = np.add.reduceat(branches, (np.cumsum(depth) - depth)[deep], axis=0)
+    # back through attention
+    da = (dz @ p["O"].T).reshape(n, -1, WIDTH)
     ds = np.matmul(da, v.transpose(0, 2, 1))
-    dv = np.matmul(s.transpose(0, 2, 1), da)
-    ds = s * (ds - (s * ds).sum(-1, keepdims=True)) * WIDTH**-0.5
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], -1)
-    g["A"] = np.einsum("nti,ntj->ij", x, dqkv, optimize=True)
-    dx = dqkv @ p["A"].T
-    g["P"], g["E"] = dx.sum(0), np.zeros_like(p["E"])
-    np.add.at(g["E"], given, dx + dz @ p["R"].T)
+    ds -= ((s * ds) @ np.ones(WINDOW, kind))[..., None]
+    ds *= s
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    dqkv[..., :WIDTH] *= scale
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(s.transpose(0, 2, 1), da, out=dqkv[..., 2 * WIDTH :])
+    flat = dqkv.reshape(-1, 3 * WIDTH)
+    dx = flat @ p["A"].T
+    place = dx.reshape(n, -1, WIDTH).sum(0)
+    dx += dz @ p["R"].T
+    nodes, dn, met = summed(states, node)
+    if real is not None:  # what lies past a stream's end is not used
+        dx, given = dx[real.ravel()], given[real.ravel()]
+    rows, de, times = summed(dx, given)
+    g = {"E": (rows, de, times), "N": (nodes, dn, met), "n": (nodes, np.bincount(node, step, len(p["n"]))[nodes].astype(kind), met)}
+    g |= {w: (None, d, total) for w, d in (("P", place), ("A", x.T @ flat), ("O", a.T @ dz), ("R", e.T @ dz), ("b", y.sum(0)))}
+    return g, float(loss / total), total
+
+
+def learn(p: dict, model: dict, some: np.ndarray, state: dict, rate: float, real: np.ndarray | None = None, used: dict | None = None) -> float:
+    """One Adam step on (n, WINDOW + 1) ids, of the rows they use; gives the mean loss of an id. ``used`` adds up how often
+    each row was."""
+    g, loss, _ = gradients(p, model, some, real)
     state["t"] = t = state.get("t", 0) + 1
-    for name in p:
+    for name, (rows, d, times) in g.items():
         m, u = state.setdefault(name, [np.zeros_like(p[name]), np.zeros_like(p[name])])
-        m += 0.1 * (g[name] - m)
-        u += 0.01 * (g[name] ** 2 - u)
+        at = slice(None) if rows is None else rows
+        first, second = m[at], u[at]
+        first, second = first + 0.1 * (d - first), second + 0.01 * (d**2 - second)
+        m[at], u[at] = first, second
         own_rate = rate * (0.1 if name in ("n", "b") else 1)  # biases begin at the counts of all texts
-        p[name] -= (own_rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return float(loss / total)
+        p[name][at] -= (own_rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)).astype(p[name].dtype)
+        if used is not None:
+            used.setdefault(name, np.zeros(len(p[name])))[at] += times
+    return loss
+
+
+def windows(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, WINDOW + 1) ids, and whether each that a window predicts is there: each id but a stream's first is predicted
+    once."""
+    number = -(-(sizes - 1) // WINDOW)
+    place = (np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)) * WINDOW
+    first, left = np.repeat(np.cumsum(sizes) - sizes, number) + place, np.repeat(sizes, number) - place
+    some = np.r_[stream, np.zeros(WINDOW, stream.dtype)][first[:, None] + np.arange(WINDOW + 1)]
+    return some, np.arange(1, WINDOW + 1) < left[:, None]
+
+
+class Pupil:
+    """A shard's steps from the model's start, over all of its streams of ids."""
+
+    def __init__(self, model: dict, shard: int, expected: float) -> None:
+        self.m, self.p = model, {k: v.copy() for k, v in model["p"].items()}
+        self.rng, self.expected, self.done = np.random.default_rng(shard), expected, 0
+        self.state, self.used = {}, {}  # type: dict, dict
+
+    def take(self, stream: np.ndarray, sizes: np.ndarray) -> None:
+        """Steps over all windows of the streams, in mixed order."""
+        some, real = windows(stream, sizes)
+        order = self.rng.permutation(len(some))
+        for a in range(0, len(order), BATCH):
+            own = order[a : a + BATCH]
+            learn(self.p, self.m, some[own], self.state, 0.01 * max(0.0, 1 - self.done / self.expected) + 0.0005, real[own], self.used)
+            self.done += int(real[own].sum())
+
+    def moved(self) -> Iterator[tuple[str, int, bytes, bytes]]:
+        """(parameter, first row, uses, moves) of ROWS rows each, where they were used."""
+        for name, used in self.used.items():
+            moves = (self.p[name] - self.m["p"][name]).reshape(len(used), -1)
+            for a in range(0, len(used), ROWS):
+                if used[a : a + ROWS].any():
+                    yield name, a, used[a : a + ROWS].tobytes(), moves[a : a + ROWS].astype("<f4").tobytes()
 
 
 class Numbered(dict):
@@ -531,6 +633,116 @@ def tallied(words: DataFrame, tokens: str) -> DataFrame:
     return words.mapInArrow(run, "kind tinyint, h bigint, c bigint")
 
 
+def width(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, order: Column, text_col: str, tokens: str) -> DataFrame:
+    """(o, ids) of every text: its ``order``, and all of its ids as little-endian numbers as long as the last id needs."""
+    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, known = held(("vocabulary", hash(sent.value)), lambda: Vocabulary(sent.value)), {}
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                lists = [lowered(t) for t in part.column("text").to_pylist()]
+                if len(known) > CACHED:
+                    known = {}
+                new = list(set().union(*lists) - known.keys())
+                known.update(zip(new, v.raw(new), strict=True))
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4").astype(width(v.end)).tobytes() for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column("o"), pa.array(ids, pa.binary())], names=["o", "ids"])
+
+    return docs.select(order.alias("o"), F.col(text_col).alias("text")).mapInArrow(run, "o bigint, ids binary")
+
+
+def pooled(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of rows of ``encoded``, each text's between two ends, and their numbers; about POOL ids at a time."""
+
+    kind = np.dtype(width(end))
+
+    def flat(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = np.fromiter(map(len, raw), np.int64, len(raw)) // kind.itemsize
+        return between_ends(np.frombuffer(b"".join(raw), kind).astype(np.int64), tokens, end), tokens + 2
+
+    waiting: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for ids in batch.column("ids"):
+            waiting.append(ids.as_py())
+            size += len(waiting[-1]) // kind.itemsize + 2
+            if size >= POOL:
+                yield flat(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield flat(waiting)
+
+
+def all_neighbours(streams: DataFrame, common: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``neighbours`` of all streams."""
+    sent = streams.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), 1_000_000
+        for stream, sizes in pooled(batches, size - 1):
+            more, times = neighbours(stream, sizes, sent.value, size)
+            keys, counts = added(np.r_[keys, more], np.r_[counts, times])
+            if len(keys) > kept:
+                yield told(keys, counts)
+                keys, counts = keys[:0], counts[:0]
+        yield told(keys, counts)
+
+    def told(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["h", "c"])
+
+    found = streams.select("ids").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return columns(found)
+
+
+MOVED = "name string, first int, shard int, used binary, moves binary"
+
+
+def shards(streams: DataFrame, model: dict, n: float, end: int) -> DataFrame:
+    """What each shard's steps over all of its streams move, by parts of parameters; ``n``: ids of all streams to predict.
+    Shards and their order depend on the rows alone, not on how the table is stored."""
+    number = max(1, -(-int(n) // SHARD))
+    sent = streams.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        pupil = Pupil(held(("start", hash(sent.value)), lambda: pickle.loads(sent.value)), shard, n / number)  # noqa: S301
+        for stream, sizes in pooled(batches, end):
+            pupil.take(stream, sizes)
+        for name, first, used, moves in pupil.moved():
+            yield pa.RecordBatch.from_pylist([{"name": name, "first": first, "shard": shard, "used": used, "moves": moves}], schema=_MOVED)
+
+    return streams.repartition(number, "o").sortWithinPartitions("o", "ids").mapInArrow(run, MOVED)
+
+
+_MOVED = pa.schema([("name", pa.string()), ("first", pa.int32()), ("shard", pa.int32()), ("used", pa.binary()), ("moves", pa.binary())])
+
+
+def mean_moves(parts: pa.Table) -> pa.Table:
+    """One part of a parameter: its rows' moves, weighted by uses; shards in order, so that sums are the same again."""
+    total = moves = 0.0
+    for r in sorted(parts.to_pylist(), key=lambda r: r["shard"]):
+        used = np.frombuffer(r["used"])
+        total, moves = total + used, moves + used[:, None] * np.frombuffer(r["moves"], "<f4").reshape(len(used), -1)
+    mean = (moves / np.maximum(total, 1)[:, None]).astype("<f4")
+    return pa.table({"name": parts["name"][:1], "first": parts["first"][:1], "moves": pa.array([mean.tobytes()], pa.binary())})
+
+
+def taught(streams: DataFrame, model: dict, n: float, end: int) -> dict:
+    """The model after steps over every id of all streams: each row of a parameter moves by the shards' weighted mean."""
+    moved = shards(streams, model, n, end).groupBy("name", "first").applyInArrow(mean_moves, "name string, first int, moves binary")
+    p = {k: v.copy() for k, v in model["p"].items()}
+    for r in moved.toArrow().to_pylist():
+        rows = p[r["name"]].reshape(len(p[r["name"]]), -1)
+        moves = np.frombuffer(r["moves"], "<f4").reshape(-1, rows.shape[1])
+        rows[r["first"] : r["first"] + len(moves)] += moves
+    return model | {"p": p}
+
+
 def window_of(text: Column, order: Column) -> Column:
     """The text, or LONGEST characters of a longer one from a place chosen by ``order``."""
     return F.substring(text, F.pmod(order, F.greatest(F.length(text) - LONGEST, F.lit(0)) + 1).cast("int") + 1, F.lit(LONGEST))
@@ -569,7 +781,12 @@ def score(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_
     order = F.xxhash64(F.col(id_col).cast("string"))
     some = training.where(least_hashes(order, SAMPLE, ends))
     some = some.select(order.alias("o"), window_of(F.col(text_col), order).alias("text")).orderBy("o", "text").limit(SAMPLE)
-    model = train([r.text for r in some.collect()], tokens, counts=ids, glue=(glued, begun))
+    streams = stored(encoded(training, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), text_col, tokens))
+    near = all_neighbours(streams, np.argsort(-ids, kind="stable")[:COMMON], known.size)
+    model = train([r.text for r in some.collect()], tokens, counts=ids, glue=(glued, begun), near=near)
+    model = taught(streams, model, ids.sum(), known.end)
+    discard(streams)
+    del near
     sent = spark.sparkContext.broadcast(pickle.dumps((model, tokens, frequent), 5))
     del model, frequent, top, times, known
 

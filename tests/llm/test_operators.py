@@ -6,6 +6,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -502,6 +503,51 @@ def test_counts_of_every_training_text(spark, monkeypatch):
     assert found[1] > found[2] + 1  # words of a text of over LONGEST characters alone, and of none
 
 
+def test_texts_outside_the_sample_teach_order(spark, monkeypatch):
+    """The order of words is learned from texts that no sample holds, and from all of a text of over LONGEST characters."""
+    rng = np.random.default_rng(3)
+    words = ["walrus", "zebra", "quartz", "badger", "violin", "oxygen"]
+    rows = [(i, " ".join(rng.permutation(words))) for i in range(20)]
+    rows += [(100, " ".join(rng.permutation(words * 2000)) + " walrus zebra quartz badger violin oxygen" * 10_000)]
+    monkeypatch.setattr(language_model, "SAMPLE", 2)
+    monkeypatch.setattr(language_model, "window_of", lambda text, order: F.substring(text, 1, language_model.LONGEST))
+    asked = spark.createDataFrame([(1, " ".join(words * 5)), (2, " ".join(words[::-1] * 5))], "doc_id bigint, text string")
+    found = {r.doc_id: r.score for r in language_model.score(asked, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[1] > found[2] + 5  # the same words, so the same by counts
+
+
+def test_every_id_of_every_training_text_is_in_a_step(spark, small_model, monkeypatch):
+    model, tokens, texts = small_model
+    rows = [(i, t) for i, t in enumerate([*texts, "", None, "cat", " ".join([*texts, *texts])])] + [(None, "the dog"), (0, texts[0])]
+    df, end = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), language_model.Vocabulary(tokens).end
+    tok = Tokenizer.from_str(tokens)
+    streams = [[end, *tok.encode(t or "", add_special_tokens=False).ids, end] for _, t in rows]
+    encoded = language_model.encoded(df, F.xxhash64(F.col("doc_id").cast("string"), "text"), "text", tokens)
+    common = np.array(sorted(set(chain.from_iterable(streams)))[:5])
+    near = Counter()
+    for x in streams:
+        for a, b in zip(x[:-1], x[1:], strict=True):
+            place = lambda i: common.tolist().index(i) if i in common else 5
+            near.update([b * 12 + place(a), a * 12 + 6 + place(b)])
+    keys, times = language_model.all_neighbours(encoded, common, end + 1)
+    assert dict(zip(keys.tolist(), times.tolist(), strict=True)) == near
+    monkeypatch.setattr(language_model, "SHARD", 4000)
+    n = sum(len(x) - 1 for x in streams)
+    moved = [r for r in language_model.shards(encoded, model, n, end).collect() if r.name in ("A", "E")]
+    assert len({r.shard for r in moved}) > 1
+    assert sum(np.frombuffer(r.used)[0] for r in moved if r.name == "A") == n
+    met = Counter(model["inputs"][i] for x in streams for i in x[:-1])
+    used = Counter()
+    for r in moved:
+        if r.name == "E":
+            used.update({r.first + i: c for i, c in enumerate(np.frombuffer(r.used).tolist()) if c})
+    assert used == met
+    first = language_model.taught(encoded, model, n, end)
+    again = language_model.taught(encoded.repartition(2), model, n, end)
+    assert all(np.array_equal(first["p"][k], again["p"][k]) for k in model["p"])
+    assert any(not np.array_equal(first["p"][k], model["p"][k]) for k in model["p"])
+
+
 def test_words_are_forgotten_and_met_again(small_model, monkeypatch):
     model, tokens, texts = small_model
     odd = ["Éa, œuf! naïve…", "日本 x", "a" * 300, "ABC-def's (q)", "\u2003 ß İ"]
