@@ -41,8 +41,8 @@ from fathom.llm.words import LETTERS, MARKS, WordIds
 #: Bounds of the sample for the network's first steps: documents by least checksum, a window of LONGEST characters of each.
 SAMPLE, LONGEST, STEPS, BATCH = 1500, 8000, 1200, 64
 WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 28, 32, 64, 2048
-#: Ids of a shard, of which POOL are mixed at a time; rows of a parameter that are averaged together.
-SHARD, POOL, ROWS = 3_000_000, 400_000, 64
+#: Ids of a shard, of which POOL (whole windows) are mixed at a time; rows of a parameter that are averaged together.
+SHARD, POOL, ROWS = 3_000_000, 12_500 * WINDOW, 16
 #: Words whose counts are broadcast, 16 bytes each, at most.
 FREQUENT = 800_000
 #: Windows scored at once.
@@ -325,12 +325,17 @@ def softened(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
     return x
 
 
+def runs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``first``; two numbers are added as one complex one, which is faster."""
+    return np.add.reduceat(x.view(np.result_type(x, np.complex64)), first, axis=0).view(x.dtype)
+
+
 def summed(x: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The numbers there are in ``by``, sums of the rows of each, and how many they are."""
-    order = np.argsort(by, kind="stable")
+    order = np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")  # short ones by radix
     keys = by[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    sums = np.add.reduceat(x.take(order, 0), first, axis=0) if len(first) else x[:0]
+    sums = runs(x.take(order, 0), first) if len(first) else x[:0]
     return keys[first], sums, np.diff(np.r_[first, len(keys)])
 
 
@@ -372,7 +377,7 @@ def gradients(p: dict, model: dict, some: np.ndarray, real: np.ndarray | None =
     dz, deep = np.zeros_like(z), depth > 0
     dz[:, :CLASSES] = y
     if len(of):
-        dz[deep, CLASSES:] = np.add.reduceat(branches, (np.cumsum(depth) - depth)[deep], axis=0)
+        dz[deep, CLASSES:] = runs(branches, (np.cumsum(depth) - depth)[deep])
     # back through attention
     da = (dz @ p["O"].T).reshape(n, -1, WIDTH)
     ds = np.matmul(da, v.transpose(0, 2, 1))
@@ -657,8 +662,8 @@ def encoded(docs: DataFrame, order: Column, text_col: str, tokens: str) -> DataF
 
 
 def pooled(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids of rows of ``encoded``, each text's between two ends, and their numbers; about POOL ids at a time."""
-
+    """The ids of rows of ``encoded``, each text's between two ends, and their numbers; about POOL ids at a time. Of a longer
+    text come pieces: whole windows, and the id after them, with which the next piece begins."""
     kind = np.dtype(width(end))
 
     def flat(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -669,8 +674,15 @@ def pooled(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.nda
     size = 0
     for batch in batches:
         for ids in batch.column("ids"):
-            waiting.append(ids.as_py())
-            size += len(waiting[-1]) // kind.itemsize + 2
+            raw = ids.as_py()
+            if len(raw) // kind.itemsize >= POOL:
+                stream, _ = flat([raw])
+                for a in range(0, len(stream) - 1, POOL):
+                    piece = stream[a : a + POOL + 1]
+                    yield piece, np.array([len(piece)])
+                continue
+            waiting.append(raw)
+            size += len(raw) // kind.itemsize + 2
             if size >= POOL:
                 yield flat(waiting)
                 waiting, size = [], 0

@@ -11,6 +11,7 @@ from itertools import chain
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -529,13 +530,13 @@ def test_every_id_of_every_training_text_is_in_a_step(spark, small_model, monkey
         for a, b in zip(x[:-1], x[1:], strict=True):
             place = lambda i: common.tolist().index(i) if i in common else 5
             near.update([b * 12 + place(a), a * 12 + 6 + place(b)])
+    monkeypatch.setattr(language_model, "SHARD", 4000)
     keys, times = language_model.all_neighbours(encoded, common, end + 1)
     assert dict(zip(keys.tolist(), times.tolist(), strict=True)) == near
-    monkeypatch.setattr(language_model, "SHARD", 4000)
     n = sum(len(x) - 1 for x in streams)
     moved = [r for r in language_model.shards(encoded, model, n, end).collect() if r.name in ("A", "E")]
     assert len({r.shard for r in moved}) > 1
-    assert sum(np.frombuffer(r.used)[0] for r in moved if r.name == "A") == n
+    assert sum(np.frombuffer(r.used)[0] for r in moved if (r.name, r.first) == ("A", 0)) == n
     met = Counter(model["inputs"][i] for x in streams for i in x[:-1])
     used = Counter()
     for r in moved:
@@ -548,6 +549,28 @@ def test_every_id_of_every_training_text_is_in_a_step(spark, small_model, monkey
     assert any(not np.array_equal(first["p"][k], model["p"][k]) for k in model["p"])
 
 
+def test_long_streams_come_in_pieces(monkeypatch):
+    """The same windows and pairs whether or not a text is longer than a pool."""
+    rng, w, end = np.random.default_rng(1), language_model.WINDOW, 500
+    texts = [rng.integers(0, end, n) for n in (0, 1, 3, w - 1, w, 8 * w - 2, 8 * w - 1, 8 * w, 8 * w + 1, 40 * w + 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype("<u2").tobytes() for x in texts], pa.binary())], names=["ids"])
+
+    def told():
+        seen, near, most = [], Counter(), 0
+        for stream, sizes in language_model.pooled([batch], end):
+            some, real = language_model.windows(stream, sizes)
+            seen += [tuple(x[np.r_[True, r]].tolist()) for x, r in zip(some, real, strict=True)]
+            near.update(dict(zip(*(x.tolist() for x in language_model.neighbours(stream, sizes, np.arange(5), end + 1)), strict=True)))
+            most = max(most, len(stream))
+        return Counter(seen), near, most
+
+    whole = told()
+    monkeypatch.setattr(language_model, "POOL", 8 * w)
+    cut = told()
+    assert whole[:2] == cut[:2] and cut[2] < 17 * w < whole[2]
+    assert sum(n * (len(x) - 1) for x, n in whole[0].items()) == sum(len(x) + 1 for x in texts)
+
+
 def test_words_are_forgotten_and_met_again(small_model, monkeypatch):
     model, tokens, texts = small_model
     odd = ["Éa, œuf! naïve…", "日本 x", "a" * 300, "ABC-def's (q)", "\u2003 ß İ"]
