@@ -6,8 +6,10 @@ left out in turn, five keys a part, meet for every such pair. Documents with equ
 
 Within keys shared by many, pairs are not listed: a class is first required to have enough shingles that any other
 candidate has too, then compared with the best supported class of each key. Links found so far join classes to
-components; only pairs that still lie in different components, share a key and are near by a longer signature of single
-bits are compared then, each at the first key it has.
+components; of pairs that still lie in different components and share a key, those are compared then that share a rare
+shingle, or that can be similar by their frequent shingles alone and are near by a longer signature of single bits, each
+at the first key it has. So in a large group of near copies, sets that differ from it in changes of their own, or in
+ones that few others share, are not compared with all of the group.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import held, slices, stored, table
@@ -30,6 +32,8 @@ RADIUS = 2 * CHUNKS - 1
 FINE = 2048
 #: Signatures as 64-bit numbers of four symbols each.
 NUMBERS = -(-SYMBOLS * BITS // 64)
+#: Sets of a shingle that is met by itself; pairs without such a one share no more than their commoner shingles.
+FREQUENT = 128
 #: Tables of at most so many ids (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 300_000
 CACHED = 150_000
@@ -159,13 +163,29 @@ def few(ids: DataFrame):
     return F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
 
 
-def supported(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, c) of sets of which enough shingles, c, stand in another set too; without that no link is possible, since
-    a linked pair shares at least ``percent`` of each one's shingles."""
+def supported(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(h, c), the shingles of more than one set and how many have them; and (rep, c, p) of sets of which enough
+    shingles, c, stand in another set too, p of them in more than FREQUENT: without that no link is possible, since a
+    linked pair shares at least ``percent`` of each one's shingles."""
     rows = one_by_one(sets)
-    shared = stored(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    found = rows.join(shared, "h").groupBy("rep", "n").agg(F.count("*").alias("c"))
-    return found.where(F.col("c") * 100 >= F.col("n") * percent).select("rep", "c")
+    shared = stored(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    often = shared.select("h", (F.col("c") > FREQUENT).alias("often"))
+    found = rows.join(often, "h").groupBy("rep", "n").agg(F.count("*").alias("c"), F.count_if("often").alias("p"))
+    return shared, found.where(F.col("c") * 100 >= F.col("n") * percent).select("rep", "c", "p")
+
+
+def by_rare(rows: DataFrame, sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``rows`` in different components that may be similar enough and share a shingle of at most FREQUENT
+    sets. The rarest shingle that a linked pair shares is among each one's rarest, of which there are one more than it
+    may lack in the other; so a set meets others through few shingles, and through each no more than FREQUENT."""
+    own = one_by_one(sets.join(few(rows)(rows.select("rep")), "rep", "left_semi")).join(shared, "h")
+    order = Window.partitionBy("rep").orderBy("c", "h")
+    ranked = own.select("rep", "h", "c", F.row_number().over(order).alias("rank")).where(F.col("c") <= FREQUENT)
+    first = ranked.withColumnRenamed("c", "times").join(rows, "rep").where((F.col("rank") - 1 + F.col("n") - F.col("c")) * 100 <= F.col("n") * (100 - percent))
+    first = stored(first.select("rep", "h", "n", "c", "component"))
+    a, b = (first.select("h", *[F.col(x).alias(f"{x}_{k}") for x in ("rep", "n", "c", "component")]) for k in "ab")
+    pairs = a.join(b, "h").where("component_a <> component_b and rep_a < rep_b").where(possible(percent))
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,10 +254,10 @@ def span(percent: int):
     return F.floor(F.log("n") / F.lit(np.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
 
 
-def possible(percent: int, a: str = "a", b: str = "b"):
+def possible(percent: int, a: str = "a", b: str = "b", c: str = "c"):
     """Whether two sets of n shingles, c of them not theirs alone, can be similar enough: what they share is at most
     the lesser c, and what they hold together is the sum of n less that."""
-    most = F.least(f"c_{a}", f"c_{b}")
+    most = F.least(f"{c}_{a}", f"{c}_{b}")
     return most * 100 >= (F.col(f"n_{a}") + F.col(f"n_{b}") - most) * percent
 
 
@@ -250,7 +270,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     hint = few(active)
     chosen = docs.join(hint(active), docs["doc_id"] == active["rep"], "left_semi")
     sets = stored(shingle_sets(chosen, size))
-    viable = stored(supported(sets, percent))
+    shared, viable = supported(sets, percent)
+    viable = stored(viable)
     hint = few(viable)
     rows = stored(classes.join(hint(viable), "rep"))
     sets = sets.join(hint(viable.select("rep")), "rep", "left_semi")
@@ -266,26 +287,34 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     found = stored(confirmed(stars, sets, percent))
     # what may still link different components: members of a key outside its largest one, against all of the key
     part = components(found)
-    marked = stored(rows.join(part, rows["rep"] == part["node"], "left").select("rep", "n", "c", "sig", F.coalesce("component", "rep").alias("component")))
-    number = keyed(marked, "n", "c", "component")
+    marked = stored(rows.join(part, rows["rep"] == part["node"], "left").select("rep", "n", "c", "p", "sig", F.coalesce("component", "rep").alias("component")))
+    number = keyed(marked, "n", "c", "p", "component")
     counts = number.groupBy("key", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     mixed_keys = counts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.min("least").alias("least"))
     mixed_keys = stored(mixed_keys.where("parts > 1").select("key", "least", F.col("top.component").alias("largest")))
-    # of a key's sets the best match for n, c is one of c shingles, or the smallest there is
-    near_n = F.greatest("least", "c")
-    open_keys = stored(number.join(mixed_keys, "key").where(F.col("c") * 100 >= (F.col("n") + near_n - F.col("c")) * percent))
+
+    def hopeful(c: str):
+        """Whether a set can be similar enough to its best match in the key, one of c shingles, or the smallest there is."""
+        near_n = F.greatest("least", c)
+        return F.col(c) * 100 >= (F.col("n") + near_n - F.col(c)) * percent
+
+    open_keys = stored(number.join(mixed_keys, "key").where(hopeful("c")))
+    open_rows = stored(open_keys.select("rep", "n", "c", "component").distinct())
+    rare = by_rare(open_rows, sets, shared, percent)
+    # pairs without a rare shingle in common share at most the lesser p
+    open_keys = open_keys.where(hopeful("p"))
     open_reps = stored(open_keys.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # at most SYMBOLS keys
     hint = few(open_reps)
     fine = sharpened(sets.join(hint(open_reps.select("rep")), "rep", "left_semi"))
     open_rows = stored(open_keys.join(stored(open_reps.join(fine, "rep")), "rep"))
-    names = ["rep", "n", "c", "component", "keys", *[f"g{i}" for i in range(NUMBERS)], *[f"f{i}" for i in range(FINE // 64)]]
+    names = ["rep", "n", "p", "component", "keys", *[f"g{i}" for i in range(NUMBERS)], *[f"f{i}" for i in range(FINE // 64)]]
     spans = F.explode(F.sequence(span(percent) - 1, span(percent) + 1)).alias("span")
     a = open_rows.where("component <> largest").select("key", spans, "largest", *[F.col(x).alias(f"{x}_a") for x in names])
     b = open_rows.select("key", span(percent).alias("span"), *[F.col(x).alias(f"{x}_b") for x in names])
     once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
     pairs = a.join(b, ["key", "span"]).where("component_a <> component_b and (component_b = largest or rep_a < rep_b)")
-    pairs = pairs.where(possible(percent)).where(within() | close(percent)).where(once)
-    rest = stored(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
+    pairs = pairs.where(possible(percent, c="p")).where(within() | close(percent)).where(once)
+    rest = stored(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(rare).distinct())
     return found.unionByName(confirmed(rest, sets, percent))
 
 

@@ -731,6 +731,24 @@ def test_boilerplate_shared_by_half(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_pairs_in_a_large_group_of_near_copies(spark, monkeypatch):
+    """Near copies whose changes few others share, many of them under the threshold from all others: components are
+    those of brute force, and the pairs compared grow with the group, not with its square."""
+    r, rows = np.random.default_rng(10), []
+    while len(rows) < 500:
+        own = [f"b{i}" for i in range(150)]
+        for _ in range(int(r.integers(0, 12))):
+            at = int(r.integers(0, 50)) * 3
+            own[at] = f"c{at}-{r.integers(0, 20)}"
+        rows.append((len(rows), " ".join(own), None, None))
+    pairs, confirmed = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda p, *more: (pairs.append(p.count()), confirmed(p, *more))[1])
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, rows), words=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert len(set(got.values())) > 100
+    assert sum(pairs) < 50 * len(rows), pairs
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 90)] + [(200, 201), (201, 202), (202, 200), (5, 5), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
