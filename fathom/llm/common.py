@@ -73,6 +73,19 @@ def on_one_thread() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def given_back() -> None:
+    """Give memory that isn't used any more back to the system; freed pieces stay with the process otherwise."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not on this system's C library
+        pass
+
+
 _HELD: dict = {}
 
 
@@ -81,14 +94,6 @@ def held(key, build):
     operator's is given back to the system first."""
     if key not in _HELD:
         _HELD.clear()
-        import ctypes
-        import gc
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # not on this system's C library
-            pass
+        given_back()
         _HELD[key] = build()
     return _HELD[key]

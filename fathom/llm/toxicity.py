@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc_remainder, held, slices, table, texts
+from fathom.llm.common import crc_remainder, given_back, held, slices, table, texts
 
 #: Bounds of the labelled sample: rows of each label, by least checksum of their ids, none longer than LONGEST.
 TOXIC, CLEAN, LONGEST = 1000, 2000, 8_000
@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 LONG, PIECE = 64, 16
 #: Words a worker keeps, about 400 bytes each; texts of more words than PART are read in parts of so many.
 CACHED, PART = 100_000, 1 << 16
+#: Training windows scored at once; each takes about 50 KB.
+AT_ONCE = 256
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _SPACED = str.maketrans(MARKS, " " * len(MARKS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,19 +66,19 @@ def grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
     and a hash of each word."""
     raw = [b"\2" + w.encode("utf-8", "replace") + b"\3" for w in words]
     sizes = np.array([len(r) for r in raw])
-    data, owner = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.repeat(np.arange(len(raw)), sizes)
+    data, owner = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
     out = []
     with np.errstate(over="ignore"):
         for n in GRAMS:
             if len(data) < n:
-                out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                out.append((np.zeros(0, np.int32), np.zeros(0, np.int32)))
                 continue
             h = np.full(len(data) - n + 1, n, np.uint64)
             for i in range(n):
                 h = (h ^ data[i : len(data) - n + 1 + i]) * _MIX
                 h ^= h >> np.uint64(29)
             inside = owner[: len(h)] == owner[n - 1 :]
-            out.append(((h[inside] >> np.uint64(40)).astype(np.int64) % BUCKETS, owner[: len(h)][inside]))
+            out.append(((h[inside] >> np.uint64(40)).astype(np.int32) % BUCKETS, owner[: len(h)][inside]))
         ends = np.cumsum(sizes)
         place = np.arange(len(data), dtype=np.uint64) - np.repeat((ends - sizes).astype(np.uint64), sizes)
         mixed = (data + np.uint64(1)) * ((place * np.uint64(2) + np.uint64(1)) * _MIX)
@@ -112,7 +114,7 @@ def characters(found, n: int) -> np.ndarray:
     """(n, CHARS) embedding rows of each word's first trigrams, 0 where there are fewer."""
     h, owner = found[0]
     out = np.zeros((n, CHARS), np.int32)
-    first = np.searchsorted(owner, np.arange(n))
+    first = np.searchsorted(owner, np.arange(n, dtype=owner.dtype))
     place = np.arange(len(owner)) - first[owner]
     keep = place < CHARS
     out[owner[keep], place[keep]] = 1 + h[keep] % (SMALL - 1)
@@ -232,7 +234,7 @@ class Lexicon:
         self.words = list(number)
         self.found, self.whole = grams(self.words)
         self.chars, self.small = characters(self.found, len(self.words)), self.whole % SMALL
-        self.spans = [np.searchsorted(o, np.arange(len(self.words) + 1)) for _, o in self.found]
+        self.spans = [np.searchsorted(o, np.arange(len(self.words) + 1, dtype=o.dtype)) for _, o in self.found]
 
     def tables(self, which: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
         counts = [np.zeros((2, BUCKETS), np.int32) for _ in range(len(GRAMS) + 1)]
@@ -246,6 +248,10 @@ class Lexicon:
         n1 = int(label[which].sum())
         return [ratio(c[1], c[0], n1, len(which) - n1) for c in counts]
 
+    def forget(self) -> None:
+        """Give up the words and their n-grams, most of what is held; windows are made of the rest."""
+        del self.words, self.found, self.whole, self.spans
+
 
 def train(given: list[str], label: np.ndarray, seed: int = 7, epochs: int = 4, share: float | None = None) -> dict:
     """The model as plain arrays: tables, parameters, calibration. Without rows of both labels it has ``constant``.
@@ -258,14 +264,15 @@ def train(given: list[str], label: np.ndarray, seed: int = 7, epochs: int = 4, s
     fold = np.arange(len(given)) % 2
     halves = [lex.tables(np.flatnonzero(fold == f), label) for f in (0, 1)]
     sig = [signals(t, lex.found, lex.whole, len(lex.words)) for t in halves]
+    lex.forget()
     held = rng.random(len(given)) < 0.15  # for the calibration
     places = [(i, a) for i, d in enumerate(lex.docs) for a in windows(len(d))]
-    owner, ids = np.array([i for i, _ in places]), np.zeros((len(places), WINDOW), np.int64)
+    owner, ids = np.array([i for i, _ in places]), np.zeros((len(places), WINDOW), np.int32)
     for k, (i, a) in enumerate(places):
         part = lex.docs[i][a : a + WINDOW]
         ids[k, : len(part)] = part
     few = np.flatnonzero(label == 0)  # a clean text's first words, down to none, are clean too
-    stubs = np.zeros((len(few), WINDOW), np.int64)
+    stubs = np.zeros((len(few), WINDOW), np.int32)
     for k, i in enumerate(few.tolist()):
         part = lex.docs[i][: k % 6]
         stubs[k, : len(part)] = part
@@ -282,10 +289,10 @@ def train(given: list[str], label: np.ndarray, seed: int = 7, epochs: int = 4, s
 
     def scored() -> np.ndarray:
         out = np.zeros(pool, np.float32)
-        for a in range(0, pool, 2048):
-            s, w, c, m = batch(np.arange(a, min(a + 2048, pool)))
+        for a in range(0, pool, AT_ONCE):
+            s, w, c, m = batch(np.arange(a, min(a + AT_ONCE, pool)))
             x = net.inputs(s, w, c)
-            out[a : a + 2048] = net.logits({d: x @ net.p[f"W{d}"] + net.p[f"b{d}"] for d in "fb"}, m)
+            out[a : a + AT_ONCE] = net.logits({d: x @ net.p[f"W{d}"] + net.p[f"b{d}"] for d in "fb"}, m)
         return out
 
     rank = strength
@@ -417,7 +424,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, plain: int =
     picked = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")
     rows = sorted(picked.select("toxic", "doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text))
     share = known.agg(F.avg("toxic")).head()[0]
-    return pickle.dumps(train([r.text for r in rows], np.array([r.toxic for r in rows]), share=share), 5)
+    model = pickle.dumps(train([r.text for r in rows], np.array([r.toxic for r in rows]), share=share), 5)
+    del rows
+    given_back()
+    return model
 
 
 def score(docs: DataFrame, model: bytes, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

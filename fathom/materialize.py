@@ -11,6 +11,7 @@ from fathom.errors import require
 
 #: Bytes of a row group: what a task's writer holds in memory.
 ROW_GROUP = 32 << 20
+WRITTEN = {"parquet.block.size": ROW_GROUP, "mapreduce.fileoutputcommitter.marksuccessfuljobs": False}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +32,11 @@ def _located(spark: SparkSession, path: str):
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back; survives lost executors. What is written goes when the session's
-    JVM ends, or earlier by ``discard``."""
+    JVM ends, or earlier by ``discard``. No success marker is written: nothing reads it, and by its
+    code Hadoop's local file system starts a `chmod` for each file that the driver creates."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.options(**WRITTEN).parquet(path)
     at, files = _located(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import chain
@@ -324,6 +326,25 @@ def test_toxicity_edges_and_accuracy(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_training_holds_few_windows_at_once():
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}x" for i in range(3000)])
+    given = [" ".join(r.choice(words, 4000)) + " vile" * (i % 2) for i in range(100)]  # 10,000 windows
+    tracemalloc.start()
+    try:
+        toxicity.train(given, np.arange(100) % 2, epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_stored_tables_have_no_marker(spark):
+    out = common.stored(spark.range(5).toDF("a"))
+    names = [x.lstrip(".") for x in os.listdir(out.stored_path.removeprefix("file://"))]
+    assert names and all(x.startswith("part-") for x in names) and out.count() == 5
+    common.discard(out)
+
+
 def slow_score(model, text):
     """One window at a time, from the parameters alone; no table of words, no batches."""
     net = toxicity.Network()
