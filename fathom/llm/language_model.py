@@ -306,7 +306,7 @@ _CAUSAL = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
 def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, calm: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Masked weights and what they gather; queries are scaled. ``calm``: no product is so large that its exponential
     overflows."""
-    s = np.matmul(q, k.transpose(0, 2, 1))
+    s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))  # products with a copy are faster
     s += _CAUSAL
     if not calm:
         s -= s.max(-1, keepdims=True)
@@ -317,26 +317,55 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, calm: bool = False) -
 
 def softened(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
     """Softmax of the last axis in place, of what is ``seen``; what is far below the highest of all counts as e ** -80 of it."""
-    x -= x.max()
-    np.exp(np.maximum(x, -80, out=x), out=x)
+    x = powers(x)
     if seen is not None:
         x *= seen
     x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
     return x
 
 
+def powers(x: np.ndarray) -> np.ndarray:
+    """Exponentials in place, all divided by one number where some are large or small."""
+    low, high = x.min(), x.max()
+    if not -40 < low <= high < 40:
+        x -= high
+        np.maximum(x, -80, out=x)
+    return np.exp(x, out=x)
+
+
 def runs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the runs of rows that begin at ``first``; two numbers are added as one complex one, which is faster."""
+    if not len(first):
+        return x[:0]
     return np.add.reduceat(x.view(np.result_type(x, np.complex64)), first, axis=0).view(x.dtype)
 
 
-def summed(x: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The numbers there are in ``by``, sums of the rows of each, and how many they are."""
+def grouped(by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal numbers together, the numbers there are, where each one's run begins, and how many they are."""
     order = np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")  # short ones by radix
-    keys = by[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    sums = runs(x.take(order, 0), first) if len(first) else x[:0]
-    return keys[first], sums, np.diff(np.r_[first, len(keys)])
+    keys = by.take(order)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    ends = np.full(len(first), len(keys))
+    ends[:-1] = first[1:]
+    return order, keys.take(first), first, ends - first
+
+
+def by_level(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Branches in order of their level. Positions come by falling depth, so that each level's branches belong to the first
+    of them: the positions that have branches; of each branch the place of its position there, and its level; and from
+    where to where each level's branches lie, and how many they are."""
+    left = np.cumsum(np.bincount(depth)[:0:-1])[::-1]
+    deep = np.argsort((len(left) - depth).astype(np.uint16), kind="stable")[: left[0] if len(left) else 0]
+    of, level = spread(np.zeros(len(left), np.int64), left), np.repeat(np.arange(len(left)), left)
+    return deep, of, level, [(end - m, end, m) for end, m in zip(np.cumsum(left).tolist(), left.tolist(), strict=True)]
+
+
+def crossed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y, by pieces of rows that stay in a cache."""
+    k = 4 * WINDOW if len(x) % (4 * WINDOW) == 0 else WINDOW
+    return np.matmul(x.reshape(-1, k, x.shape[1]).transpose(0, 2, 1), y.reshape(-1, k, y.shape[1])).sum(0)
 
 
 _SEEN = np.tri(WINDOW, dtype=np.float32)
@@ -345,77 +374,128 @@ _SEEN = np.tri(WINDOW, dtype=np.float32)
 def gradients(p: dict, model: dict, some: np.ndarray, real: np.ndarray | None = None) -> tuple[dict, float, int]:
     """Of the mean loss of an id, for (n, WINDOW + 1) ids: by parameter its rows (None: all), their gradients and how often
     each was used; the loss; and the number of ids. Ids without a count, or that are not ``real``, are not predicted."""
-    n, tree, kind = len(some), model["tree"], p["E"].dtype.type
-    given, target = model["inputs"][some[:, :-1]].ravel(), some[:, 1:].ravel()
-    own, cls, has = np.arange(len(target)), model["cls"][target], model["has"][target]
-    has = has if real is None else has & real.ravel()
-    total, scale = max(1, int(has.sum())), kind(WIDTH**-0.5)
-    e = p["E"].take(given, 0)
-    x = (e.reshape(n, -1, WIDTH) + p["P"]).reshape(-1, WIDTH)
-    qkv = (x @ p["A"]).reshape(n, -1, 3 * WIDTH)
+    n, tree, kind, qkv_size = len(some), model["tree"], p["E"].dtype.type, 3 * WIDTH
+    given, target = model["inputs"].take(some[:, :-1]).ravel(), some[:, 1:].ravel()
+    has, beyond = model["has"].take(target), 0
+    if real is not None:  # what lies past a stream's end has no gradient; any input will do
+        real = real.ravel()
+        has &= real
+        beyond, stand_in = len(real) - int(real.sum()), given[real.argmax()]
+        given = np.where(real, given, stand_in)
+    total, scale = max(1, int(has.sum())), np.where(np.arange(qkv_size) < WIDTH, WIDTH**-0.5, 1).astype(kind)  # of the queries
+    weight = has.astype(kind) / kind(total)
+    # products with the inputs are made once for each input there is
+    order, rows, first, times = grouped(given)
+    which = np.empty(len(given), np.int64)
+    which[order] = np.repeat(np.arange(len(rows)), times)
+    if beyond:
+        times[np.searchsorted(rows, stand_in)] -= beyond
+    e, into = p["E"].take(rows, 0), p["A"] * scale
+    qkv = (e @ into).take(which, 0).reshape(n, -1, qkv_size)
+    qkv += p["P"] @ into
     q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-    q = q * scale
     s = softened(np.matmul(q, k.transpose(0, 2, 1)), _SEEN)
     a = np.matmul(s, v).reshape(-1, WIDTH)
-    z = e @ p["R"]
-    z += a @ p["O"]
-    # classes, then branches
-    y, t = softened(z[:, :CLASSES] + p["b"]), np.ascontiguousarray(z[:, CLASSES:])
-    loss = -(np.log(y[own, cls] + 1e-12) * has).sum()
-    y[own, cls] -= 1
-    y *= (has / kind(total)).astype(kind)[:, None]
-    depth = np.where(has, tree.depth[target], 0)
-    way, of = spread(tree.start[target], depth), np.repeat(own, depth)
-    node, sign = tree.node[way], tree.sign[way]
-    states, branches = t.take(of, 0), p["N"].take(node, 0)
-    odds = sign * (np.einsum("nd,nd->n", states, branches) + p["n"][node])
+    direct = e @ p["R"]
+    y, t = (direct[:, :CLASSES] + p["b"]).take(which, 0), direct[:, CLASSES:].take(which, 0)
+    y += a @ p["O"][:, :CLASSES]
+    t += a @ p["O"][:, CLASSES:]
+    # classes, then branches; gradients of queries, keys, values, classes and states stand side by side
+    d = np.empty((len(given), qkv_size + CLASSES + WIDTH), kind)
+    dy, dt, dz = d[:, qkv_size : qkv_size + CLASSES], d[:, qkv_size + CLASSES :], d[:, qkv_size:]
+    y = powers(y)
+    part, own, cls = 1 / (y @ np.ones(CLASSES, kind)), np.arange(len(target)), model["cls"].take(target)
+    loss = -(np.log(y.ravel().take(own * CLASSES + cls) * part + 1e-12) * has).sum()
+    y *= (part * weight)[:, None]
+    y.reshape(-1)[own * CLASSES + cls] -= weight
+    dy[:] = y
+    deep, of, level, levels = by_level(np.where(has, tree.depth.take(target), 0))
+    way = tree.start.take(target.take(deep)).take(of) + level
+    node, sign = tree.node.take(way), tree.sign.take(way)
+    states, branches = t.take(deep, 0), p["N"].take(node, 0)
+    odds = np.empty(len(way), kind)
+    for low, high, m in levels:
+        np.vecdot(states[:m], branches[low:high], out=odds[low:high])
+    odds += p["n"].take(node)
+    odds *= sign
     miss = 1 / (1 + np.exp(np.clip(odds, -60, 60)))
     loss -= np.log(1 - miss + 1e-12).sum()
     step = (-sign * miss / total).astype(kind)
     branches *= step[:, None]
-    states *= step[:, None]
-    dz, deep = np.zeros_like(z), depth > 0
-    dz[:, :CLASSES] = y
-    if len(of):
-        dz[deep, CLASSES:] = runs(branches, (np.cumsum(depth) - depth)[deep])
+    for low, high, m in levels[1:]:
+        branches[:m] += branches[low:high]
+    dt[:] = 0
+    dt[deep] = branches[: len(deep)]
     # back through attention
-    da = (dz @ p["O"].T).reshape(n, -1, WIDTH)
-    ds = np.matmul(da, v.transpose(0, 2, 1))
-    ds -= ((s * ds) @ np.ones(WINDOW, kind))[..., None]
+    da = dz @ p["O"].T
+    ds = np.matmul(da.reshape(n, -1, WIDTH), v.transpose(0, 2, 1))
+    ds -= np.vecdot(da, a).reshape(n, -1, 1)
     ds *= s
-    dqkv = np.empty_like(qkv)
-    np.matmul(ds, k, out=dqkv[..., :WIDTH])
-    dqkv[..., :WIDTH] *= scale
-    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
-    np.matmul(s.transpose(0, 2, 1), da, out=dqkv[..., 2 * WIDTH :])
-    flat = dqkv.reshape(-1, 3 * WIDTH)
-    dx = flat @ p["A"].T
-    place = dx.reshape(n, -1, WIDTH).sum(0)
-    dx += dz @ p["R"].T
-    nodes, dn, met = summed(states, node)
-    if real is not None:  # what lies past a stream's end is not used
-        dx, given = dx[real.ravel()], given[real.ravel()]
-    rows, de, times = summed(dx, given)
-    g = {"E": (rows, de, times), "N": (nodes, dn, met), "n": (nodes, np.bincount(node, step, len(p["n"]))[nodes].astype(kind), met)}
-    g |= {w: (None, d, total) for w, d in (("P", place), ("A", x.T @ flat), ("O", a.T @ dz), ("R", e.T @ dz), ("b", y.sum(0)))}
+    windowed = d.reshape(n, -1, d.shape[1])
+    np.matmul(ds, k, out=windowed[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=windowed[..., WIDTH : 2 * WIDTH])
+    np.matmul(s.transpose(0, 2, 1), da.reshape(n, -1, WIDTH), out=windowed[..., 2 * WIDTH : qkv_size])
+    dx = d @ np.concatenate((into, p["R"]), 1).T
+    placed, both = windowed[..., :qkv_size].sum(0), crossed(e.take(which, 0), d)
+    di = (both[:, :qkv_size] + p["P"].T @ placed) * scale
+    in_order, nodes, begin, met = grouped(node)
+    states = states.take(of.take(in_order), 0)
+    states *= (step := step.take(in_order))[:, None]
+    g = {"E": (rows, runs(dx.take(order, 0), first), times), "N": (nodes, runs(states, begin), met), "n": (nodes, np.add.reduceat(step, begin) if len(begin) else step, met)}
+    g |= {w: (None, x, total) for w, x in (("P", placed @ into.T), ("A", di), ("O", crossed(a, dz)), ("R", both[:, qkv_size:]), ("b", np.ones(len(d), kind) @ dy))}
     return g, float(loss / total), total
 
 
+#: Parameters whose moments lie one after another, so that a step on all of them is one: whole ones, and rows of them.
+_WHOLE, _ROWS = ("P", "A", "O", "R", "b"), ("E", "N")
+
+
+def moments(p: dict) -> dict:
+    """Adam's state before the first step: by parameter both of its moments, which are parts of common arrays."""
+    state: dict = {"t": 0, "n": [np.zeros_like(p["n"]) for _ in range(2)]}
+    for key, names, flat in (("whole", _WHOLE, True), ("rows", _ROWS, False)):
+        sizes = [p[w].size if flat else len(p[w]) for w in names]
+        state[key] = [np.zeros(sum(sizes) if flat else (sum(sizes), WIDTH), p["E"].dtype) for _ in range(2)]
+        for w, end, size in zip(names, np.cumsum(sizes).tolist(), sizes, strict=True):
+            state[w] = [x[end - size : end].reshape(p[w].shape) for x in state[key]]
+    return state
+
+
 def learn(p: dict, model: dict, some: np.ndarray, state: dict, rate: float, real: np.ndarray | None = None, used: dict | None = None) -> float:
     """One Adam step on (n, WINDOW + 1) ids, of the rows they use; gives the mean loss of an id. ``used`` adds up how often
     each row was."""
     g, loss, _ = gradients(p, model, some, real)
-    state["t"] = t = state.get("t", 0) + 1
-    for name, (rows, d, times) in g.items():
-        m, u = state.setdefault(name, [np.zeros_like(p[name]), np.zeros_like(p[name])])
-        at = slice(None) if rows is None else rows
-        first, second = m[at], u[at]
-        first, second = first + 0.1 * (d - first), second + 0.01 * (d**2 - second)
+    if not state:
+        state |= moments(p)
+    state["t"] = t = state["t"] + 1
+
+    def move(key: str, at: np.ndarray | None, d: np.ndarray) -> np.ndarray:
+        m, u = state[key]
+        first, second = (m, u) if at is None else (m.take(at, 0), u.take(at, 0))
+        first, second = first + 0.1 * (d - first), second + 0.01 * (d * d - second)
+        at = slice(None) if at is None else at
         m[at], u[at] = first, second
-        own_rate = rate * (0.1 if name in ("n", "b") else 1)  # biases begin at the counts of all texts
-        p[name][at] -= (own_rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)).astype(p[name].dtype)
-        if used is not None:
-            used.setdefault(name, np.zeros(len(p[name])))[at] += times
+        second *= 1 / (1 - 0.99**t)
+        np.sqrt(second, out=second)
+        second += 1e-8
+        first *= rate / (1 - 0.9**t)
+        first /= second
+        return first
+
+    (rows, de, _), (nodes, dn, _) = g["E"], g["N"]
+    moves = move("rows", np.r_[rows, len(p["E"]) + nodes], np.concatenate((de, dn)))
+    p["E"][rows] -= moves[: len(rows)]
+    p["N"][nodes] -= moves[len(rows) :]
+    p["n"][nodes] -= 0.1 * move("n", nodes, g["n"][1])  # biases begin at the counts of all texts
+    moves, at = move("whole", None, np.concatenate([g[w][1].ravel() for w in _WHOLE])), 0
+    for w in _WHOLE:
+        p[w] -= moves[at : at + p[w].size].reshape(p[w].shape) * (0.1 if w == "b" else 1)
+        at += p[w].size
+    if used is not None:
+        for name, (at, _, times) in g.items():
+            if name not in used:
+                used[name] = np.zeros(len(p[name]))
+            used[name][slice(None) if at is None else at] += times
     return loss
 
 
