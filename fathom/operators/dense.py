@@ -22,6 +22,10 @@ from fathom.operators import fusion
 
 #: Query vectors that go to the executors at a time in a batch search: at most this many numbers.
 BLOCK_NUMBERS = 1 << 22
+#: Points that a task keeps for a block, of all its queries together.
+BLOCK_FOUND = 1 << 20
+#: Scores of a tile, which is all that a task makes at a time, and the queries in it.
+TILE, TILE_QUERIES = 1 << 19, 256
 
 
 def checked_k(k: int) -> int:
@@ -69,30 +73,83 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
-def _scores(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    if metric == "l2":
-        # differences, not the binomial formula: that loses digits for near vectors
-        return -np.stack([np.sqrt(((m - x) ** 2).sum(1)) for x in q])
-    s = q @ m.T
-    if metric == "cosine":
-        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None]
-        s = np.divide(s, size, out=np.zeros_like(s), where=size != 0)
-    return s
-
-
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(s) > k:
-        least = np.partition(s, len(s) - k)[len(s) - k]
-        keep = s >= least
-        s, ids = s[keep], ids[keep]
-    order = np.lexsort((ids, -s))[:k]
-    return s[order], ids[order]
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products over the first axis, one after the other: equal columns have equal sums wherever they stand."""
+    out = np.zeros(b.shape[1:])
+    for x, y in zip(a, b, strict=True):
+        out += x * y
+    return out
+
+
+class _Best:
+    """The k best points of each query, by exact score, then id, kept in one table of at most about twice so many rows."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = np.ascontiguousarray(q.T), k, metric
+        self.squares = _dots(self.q, self.q)
+        self.sent = q / np.where(self.squares > 0, np.sqrt(self.squares), 1.0)[:, None] if metric == "cosine" else q
+        self.bound = np.full(len(q), -np.inf)
+        self.rows, self.new = None, []
+
+    def add(self, m: np.ndarray, ids: np.ndarray) -> None:
+        """Products find the candidates, with room for their rounding; those alone are scored pair by pair."""
+        t = np.ascontiguousarray(m.T)
+        squares = _dots(t, t)
+        near, k = 16 * (len(t) + 4) * np.finfo(float).eps, self.k
+        if self.metric == "cosine":
+            m = m / np.where(squares > 0, np.sqrt(squares), 1.0)[:, None]
+        for at in range(0, len(self.sent), TILE_QUERIES):
+            part = slice(at, at + TILE_QUERIES)
+            s, bound, own = self.sent[part] @ m.T, self.bound[part], self.squares[part]
+            room = np.full(len(s), near)
+            if self.metric == "dot":
+                room = near * np.sqrt(own * squares.max())
+            elif self.metric == "l2":
+                s = 2 * s - squares - own[:, None]
+                room, bound = near * (own + squares.max()), -bound * bound
+            room = np.nan_to_num(room, nan=np.inf)
+            least = bound - room
+            found = ~(s < least[:, None])
+            if s.shape[1] > k and np.count_nonzero(found) > 2 * k * len(s):
+                within = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * room
+                found = ~(s < np.fmax(least, within)[:, None])
+            i, j = np.nonzero(found)
+            if len(i):
+                self.new.append((i + at, self.exact(i + at, j, t, squares), ids[j]))
+                if sum(len(x[0]) for x in self.new) > max(TILE, len(self.bound) * k):
+                    self.settle()
+        if sum(len(x[0]) for x in self.new) > len(self.bound) * k // 2:
+            self.settle()
+
+    def exact(self, i: np.ndarray, j: np.ndarray, t: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        for x, y in zip(self.q, t, strict=True):
+            # differences, not the binomial formula: that loses digits for near vectors
+            out += (x[i] - y[j]) ** 2 if self.metric == "l2" else x[i] * y[j]
+        if self.metric == "l2":
+            return -np.sqrt(out)
+        if self.metric == "cosine":
+            size = np.sqrt(self.squares[i] * squares[j])
+            out = np.clip(np.divide(out, size, out=np.zeros_like(out), where=size != 0), -1.0, 1.0)
+        return out
+
+    def settle(self) -> None:
+        i, s, ids = map(np.concatenate, zip(*([self.rows] if self.rows else []), *self.new, strict=True))
+        order = np.lexsort((ids, np.where(np.isnan(s), -np.inf, -s), i))
+        i, s, ids = i[order], s[order], ids[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        last = rank == self.k - 1
+        self.bound[i[last]] = np.nan_to_num(s[last], nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        keep = rank < self.k
+        self.rows, self.new = (i[keep], s[keep], ids[keep]), []
 
 
 def batch_search(points: DataFrame, queries: DataFrame, *, k: int = DEFAULT_K, metric: str = "cosine") -> DataFrame:
     """(qid, id, score, rank): every query of (qid, vector) against every point of (id, vector), in matrix products.
 
-    Queries go out in blocks of bounded size; a task keeps k points a query, and only those are shuffled.
+    Queries go out in blocks of bounded size, products are made in tiles of bounded size; a task keeps k points a
+    query, and only those are shuffled.
     """
     require(metric in V.METRICS, "invalid_metric", f"metric must be one of {V.METRICS}")
     checked_k(k)
@@ -103,28 +160,38 @@ def batch_search(points: DataFrame, queries: DataFrame, *, k: int = DEFAULT_K, m
     out, block, size = [], [], 0
 
     def run_block(rows: list) -> DataFrame:
-        numbers = np.array([r.vector for r in rows], np.float64)
-        sent = spark.sparkContext.broadcast(([r.qid for r in rows], numbers))
+        require(len({len(v) for _, v in rows}) == 1, "22000", "queries of one dimension are expected")
+        sent = spark.sparkContext.broadcast(([name for name, _ in rows], np.stack([v for _, v in rows])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            held: list = [(np.zeros(0), np.zeros(0, object))] * len(names)
+            best = _Best(q, k, metric)
+            step = max(1, min(TILE // min(len(q), TILE_QUERIES), TILE // max(1, q.shape[1])))
             for batch in batches:
-                if batch.num_rows:
-                    m, ids = _matrix(batch.column(1), q.shape[1]), np.array(batch.column(0).to_pylist(), object)
-                    for i, s in enumerate(_scores(metric, q, m)):
-                        held[i] = _best(np.r_[held[i][0], s], np.r_[held[i][1], ids], k)
-            frame = pd.DataFrame({"qid": np.repeat(np.array(names, object), [len(s) for s, _ in held]), "id": np.concatenate([i for _, i in held]), "score": np.concatenate([s for s, _ in held])})
-            yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    own = some.column(0)
+                    ids = own.to_numpy(zero_copy_only=False) if pa.types.is_integer(own.type) and not own.null_count else np.array(own.to_pylist(), object)
+                    with np.errstate(all="ignore"):
+                        best.add(_matrix(some.column(1), q.shape[1]), ids)
+            if best.new:
+                best.settle()
+            i, s, ids = best.rows or (np.zeros(0, int), np.zeros(0), np.zeros(0, object))
+            names = np.array(names, object)
+            for at in range(0, len(i), TILE // 8):
+                part = slice(at, at + TILE // 8)
+                frame = pd.DataFrame({"qid": names[i[part]], "id": ids[part], "score": s[part]})
+                yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
 
         return given.mapInArrow(run, schema)
 
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     target = pa.schema([("qid", kinds[qkind]), ("id", kinds[kind]), ("score", pa.float64())])
-    for row in queries.where(F.col("vector").isNotNull()).select("qid", "vector").toLocalIterator():
-        block.append(row)
+    asked = queries.where(F.col("vector").isNotNull()).select("qid", "vector").toLocalIterator() if k else ()
+    for row in asked:
+        block.append((row.qid, np.array(row.vector, np.float64)))
         size += len(row.vector)
-        if size >= BLOCK_NUMBERS:
+        if size >= BLOCK_NUMBERS or len(block) * k >= BLOCK_FOUND:
             out.append(run_block(block))
             block, size = [], 0
     if block:

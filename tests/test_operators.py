@@ -154,6 +154,40 @@ def test_batch_equals_single(spark):
             assert [x.id for x in sorted(got, key=lambda x: x.rank) if x.qid == i] == want
 
 
+def test_batch_ties_and_memory():
+    """Equal vectors tie wherever they stand, and scores are made in tiles: 2500 queries on 10,000 points are 200 MB at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    base = r.normal(size=(1000, 64))
+    m, ids, q = np.tile(base, (10, 1)), np.arange(10_000), np.tile(base[:500], (5, 1))
+    for metric in ("cosine", "l2", "dot"):
+        best = dense._Best(q, 4, metric)
+        tracemalloc.start()
+        for at in range(0, len(m), 2048):
+            best.add(m[at : at + 2048], ids[at : at + 2048])
+        best.settle()
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        i, s, found = best.rows
+        assert len(i) == len(q) * 4
+        if metric != "dot":
+            assert (found.reshape(-1, 4) == (np.arange(len(q)) % 500)[:, None] + 1000 * np.arange(4)).all()
+        assert (np.diff(found.reshape(-1, 4)) % 1000 == 0).all() and (s.reshape(-1, 4) == s.reshape(-1, 4)[:, :1]).all()
+
+
+def test_batch_blocks(spark, monkeypatch):
+    """Blocks by what is held, no points asked for, and text ids."""
+    p = spark.createDataFrame([(str(i), [float(i % 3), 1.0]) for i in range(20)], "id string, vector array<double>")
+    q = p.selectExpr("id AS qid", "vector")
+    want = {tuple(r) for r in dense.batch_search(p, q, k=3).collect()}
+    assert len(want) == 60 and dense.batch_search(p, q, k=0).count() == 0
+    monkeypatch.setattr(dense, "BLOCK_FOUND", 30)
+    assert {tuple(r) for r in dense.batch_search(p, q, k=3).collect()} == want
+
+
 def test_index_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     c = index.centres(e, 16)
