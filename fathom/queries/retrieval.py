@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import vectors as V
 from fathom.operators import dense, fusion, text
 from fathom.registry import query
-from fathom.sources.tables import points, table, text_points
+from fathom.sources.tables import points, table, text_points, texts
 
 VEC = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
 SCORES = {
@@ -122,13 +122,13 @@ def bm25_cte(where: str = "true") -> str:
 
 @query("bm25", bm25_cte() + " SELECT id, round(s, 6) AS score FROM bm WHERE s > 0 ORDER BY s DESC, id LIMIT 25")
 def bm25(spark, sf_dir):
-    return rounded(text.bm25(text_points(spark, sf_dir).select("id", "text"), "text", "Rewh with, thatin WITH", k=25))
+    return rounded(text.bm25(texts(spark, sf_dir).select("id", "text"), "text", "Rewh with, thatin WITH", k=25))
 
 
 @query("bm25_filtered", bm25_cte("lang = 'en'") + " SELECT id, round(s, 6) AS score FROM bm WHERE s > 0 ORDER BY s DESC, id LIMIT 25")
 def bm25_filtered(spark, sf_dir):
     """The filter chooses candidates; statistics stay those of the whole field."""
-    return rounded(text.bm25(text_points(spark, sf_dir).select("id", "text", "lang"), "text", "rewh with thatin", k=25, payload_filter={"lang": "en"}))
+    return rounded(text.bm25(texts(spark, sf_dir).select("id", "text", "lang"), "text", "rewh with thatin", k=25, payload_filter={"lang": "en"}))
 
 
 @query("text_hybrid_rrf", bm25_cte() + f""", sp AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM bm WHERE s > 0 QUALIFY r <= 40),
@@ -138,7 +138,7 @@ f AS (SELECT coalesce(de.id, sp.id) AS id, coalesce(1.0::DOUBLE / (10 + de.r), 0
 SELECT id, round(t, 6) AS score, dr::INT AS dense_rank, sr::INT AS sparse_rank FROM f ORDER BY t DESC, dr NULLS LAST, sr NULLS LAST, id LIMIT 10""")
 def text_hybrid_rrf(spark, sf_dir):
     p = text_points(spark, sf_dir)
-    return rounded(text.text_hybrid(p, "text", "rewh with thatin", vector=dense.stored_vector(p, "0")), "dense_rank", "sparse_rank")
+    return rounded(text.text_hybrid(p, "text", "rewh with thatin", vector=dense.stored_vector(p, "0"), texts=texts(spark, sf_dir)), "dense_rank", "sparse_rank")
 
 
 _ENCODE = f"""WITH tok AS (SELECT doc_id::VARCHAR AS id, {TOKENS} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT id, t, len(t)::DOUBLE AS l FROM tok WHERE len(t) > 0),
@@ -150,7 +150,7 @@ x AS (SELECT id, dim, ln(1 + (n - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) * f * 2.
 @query("sparse_encode", _ENCODE + " SELECT id, count(*)::INT AS cells, min(dim)::BIGINT AS first_dim, max(dim)::BIGINT AS last_dim, round(sum(wt), 4) AS weight FROM x WHERE wt > 0 GROUP BY id")
 def sparse_encode(spark, sf_dir):
     s = F.col("sparse")
-    got = text.encode(text_points(spark, sf_dir).select("id", "text"), "text")
+    got = text.encode(texts(spark, sf_dir).select("id", "text"), "text")
     return got.select("id", F.size(s["indices"]).alias("cells"), F.array_min(s["indices"]).alias("first_dim"), F.array_max(s["indices"]).alias("last_dim"), F.round(F.aggregate(s["values"], F.lit(0.0), lambda a, x: a + x), 4).alias("weight"))
 
 

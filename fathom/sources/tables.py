@@ -17,6 +17,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), named.alias("vectors"), "label")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, lang, source, n_chars): documents alone, for what reads no vector; nothing is joined."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source", "n_chars")
+
+
 def text_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vector, text, lang, source, n_chars): documents with the vector of the same number, where there is one."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")

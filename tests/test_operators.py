@@ -188,6 +188,40 @@ def test_batch_blocks(spark, monkeypatch):
     assert {tuple(r) for r in dense.batch_search(p, q, k=3).collect()} == want
 
 
+def test_encode_blocks(spark, monkeypatch):
+    """Vectors over several small blocks are those of plain Python, with one file of numbered texts and one of terms."""
+    r = random.Random(3)
+    texts = {str(i): " ".join(r.choice(["Ab", "c", "\u00e9t\u00e9", f"w{r.randrange(40)}", "\U00010400x"]) for _ in range(r.randrange(30))) for i in range(60)} | {"none": None, "blank": " ,"}
+    held = {i: tokens.words(t) for i, t in texts.items() if t and tokens.words(t)}
+    n, average = len(held), sum(map(len, held.values())) / len(held)
+    dims = {w: d for d, w in enumerate(sorted({w for t in held.values() for w in t}))}
+    df = {w: sum(w in t for t in held.values()) for w in dims}
+    want = {}
+    for i, t in held.items():
+        share = {dims[w]: text.idf(n, df[w]) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in t}
+        want[i] = [*zip(*sorted(share.items()), strict=True)]
+    corpus = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3)
+    written = []
+    monkeypatch.setattr(text, "stored", lambda df, keep=text.stored: written.append(df.columns) or keep(df))
+    for tokens_held in (text.BLOCK_TOKENS, 50):
+        monkeypatch.setattr(text, "BLOCK_TOKENS", tokens_held)
+        monkeypatch.setattr(text, "BLOCK_TERMS", 7)
+        got = {x.id: x.sparse for x in text.encode(corpus, "text").collect()}
+        assert got.keys() == want.keys()
+        for i, (at, weights) in want.items():
+            assert got[i]["indices"] == list(at) and got[i]["values"] == pytest.approx(weights)
+    assert [len(x) for x in written] == [8, 3] * 2  # texts as numbers, then the vocabulary: no cell has a row of its own
+    assert text.encode(corpus.where("text is null"), "text").count() == 0
+
+
+def test_text_queries_read_no_vectors(spark):
+    """What reads texts alone joins nothing that would shuffle them."""
+    from fathom.registry import queries
+
+    for name in ("bm25", "bm25_filtered"):
+        assert "embeddings.parquet" not in "".join(queries()[name](spark, "/root/testdata/sf0.001").inputFiles())
+
+
 def test_index_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     c = index.centres(e, 16)
