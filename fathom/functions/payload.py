@@ -41,14 +41,24 @@ def _get(value: Column, key: str) -> Column:
     return F.try_variant_get(value, _step(key), "variant")
 
 
-def _flat(value: Column) -> Column:
-    """The value's elements if it is an array, itself if it is not, nothing if it is missing."""
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once a row: the optimizer copies a column's expression, a payload's parsing
+    among them, to each place that names it, but never into a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _elements(value: Column) -> Column:
     none = F.array().cast("array<variant>")
     return F.when(value.isNull(), none).when(
         F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")
     ).otherwise(F.array(value))
 
 
+def _flat(value: Column) -> Column:
+    """The value's elements if it is an array, itself if it is not, nothing if it is missing."""
+    return _once(value, _elements)
+
+
 def _into(part: str):
     return lambda x: _flat(_get(x, part))
 
@@ -60,8 +70,7 @@ def values(payload: Column, field: str) -> Column:
         found = F.flatten(F.transform(found, _into(part)))
     if len(parts) == 1 and parts[0] == field:
         return found
-    plain = _get(payload, field)
-    return F.when(plain.isNotNull(), _flat(plain)).otherwise(found)
+    return _once(_get(payload, field), lambda plain: F.when(plain.isNotNull(), _elements(plain)).otherwise(found))
 
 
 def _kind(x: Column) -> Column:
@@ -113,7 +122,7 @@ def _operator(x: Column, op: str, bound) -> Column:
         return _true((_kind(x) == "STRING") & (F.size(F.array_except(F.array(*map(F.lit, asked)), held)) == 0))
     if op == "nested":
         inner = bound.get("filter", bound) if isinstance(bound, dict) else {}
-        return _true(_kind(x).startswith("OBJECT")) & matches(x, inner)
+        return _true(_kind(x).startswith("OBJECT")) & _matches(x, inner)
     return F.lit(False)
 
 
@@ -141,7 +150,12 @@ def _satisfies(ops: dict):
 
 
 def matches(payload: Column, given) -> Column:
-    """The filter as a column over a VARIANT payload; a filter that is no object matches everything."""
+    """The filter as a column over a VARIANT payload, which is evaluated once a row; a filter that is no object matches
+    everything."""
+    return F.exists(F.array(payload), lambda p: _matches(p, given)) if isinstance(given, dict) else F.lit(True)
+
+
+def _matches(payload: Column, given) -> Column:
     if not isinstance(given, dict):
         return F.lit(True)
     one = [F.exists(values(payload, field), _satisfies(conditions(bound))) for field, bound in given.items()]
@@ -188,15 +202,13 @@ def _unlike(test):
     return lambda x: ~F.is_variant_null(x) & ~test(x)
 
 
-def violations(df: DataFrame, schema: dict[str, str], payload: str = "payload") -> DataFrame:
-    """Rows with the first field whose value breaks the payload schema: string, number, bool, object or array, each
-    alone (required), ``optional_`` (may be missing or null) or ``nullable_`` (may be null); arrays go by element."""
+def _violation(payload: Column, schema: dict[str, str]) -> Column:
     broken = F.lit(None).cast("string")
     for field, rule in reversed(schema.items()):
         optional, nullable = rule.startswith("optional_"), rule.startswith("nullable_")
         kind = rule.removeprefix("optional_").removeprefix("nullable_")
-        found = values(F.col(payload), field)
-        raw = _get(F.col(payload), field)
+        found = values(payload, field)
+        raw = _get(payload, field)
         test = {
             "string": lambda x: _kind(x) == "STRING", "number": _is_number, "bool": lambda x: _kind(x) == "BOOLEAN",
             "object": lambda x: _kind(x).startswith("OBJECT"),
@@ -209,4 +221,13 @@ def violations(df: DataFrame, schema: dict[str, str], payload: str = "payload")
         missing = F.lit(False) if optional else (raw.isNull() if "." not in field else F.size(found) == 0)
         null = F.lit(False) if optional or nullable else F.exists(found, F.is_variant_null)
         broken = F.when(_true(wrong) | _true(missing) | _true(null), field).otherwise(broken)
-    return df.withColumn("violation", broken).where("violation is not null")
+    return broken
+
+
+def violations(df: DataFrame, schema: dict[str, str], payload: str = "payload") -> DataFrame:
+    """Rows with the first field whose value breaks the payload schema: string, number, bool, object or array, each
+    alone (required), ``optional_`` (may be missing or null) or ``nullable_`` (may be null); arrays go by element.
+
+    A generator makes the violations and drops the other rows at once: a filter would evaluate them a second time."""
+    found = F.filter(F.transform(F.array(payload), lambda p: _violation(p, schema)), lambda v: v.isNotNull())
+    return df.drop("violation").select("*", F.explode(found).alias("violation"))

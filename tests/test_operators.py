@@ -222,6 +222,22 @@ def test_text_queries_read_no_vectors(spark):
         assert "embeddings.parquet" not in "".join(queries()[name](spark, "/root/testdata/sf0.001").inputFiles())
 
 
+def test_payload_is_parsed_once(spark):
+    """A payload's parsing has one place in the plan, however many conditions name it."""
+    df = spark.createDataFrame([(1, '{"a": {"b": 3}, "a.b": 1, "t": ["x"]}'), (2, '{"a": {"b": 3}, "t": 5}'), (3, '{"a": {"b": "x"}, "t": []}'), (4, None)], "id int, json string")
+    parsed = df.select("id", F.parse_json("json").alias("payload"))
+    rules = {"a.b": "number", "t": "array", "missing": "optional_bool"}
+    for out, want in (
+        (payload.violations(parsed, rules).select("id", "violation"), [(2, "t"), (3, "a.b"), (4, "a.b")]),
+        (payload.where(parsed, {"a.b": {"gte": 1, "lt": 5}, "t": {"ne": 7}}).select("id"), [(1,), (2,)]),
+        (payload.where(parsed, {"a": {"nested": {"b": 3}}}).select("id"), [(1,), (2,)]),
+    ):
+        assert sorted(map(tuple, out.collect())) == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    again = payload.violations(parsed.withColumn("violation", F.lit("old")), rules)
+    assert again.columns == ["id", "payload", "violation"] and {r.violation for r in again.collect()} == {"t", "a.b"}
+
+
 def test_index_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     c = index.centres(e, 16)
