@@ -41,7 +41,7 @@ def _get(value: Column, key: str) -> Column:
     return F.try_variant_get(value, _step(key), "variant")
 
 
-def _once(value: Column, f) -> Column:
+def once(value: Column, f) -> Column:
     """``f`` of a value that is evaluated once a row: the optimizer copies a column's expression, a payload's parsing
     among them, to each place that names it, but never into a lambda's argument."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -56,7 +56,7 @@ def _elements(value: Column) -> Column:
 
 def _flat(value: Column) -> Column:
     """The value's elements if it is an array, itself if it is not, nothing if it is missing."""
-    return _once(value, _elements)
+    return once(value, _elements)
 
 
 def _into(part: str):
@@ -70,7 +70,7 @@ def values(payload: Column, field: str) -> Column:
         found = F.flatten(F.transform(found, _into(part)))
     if len(parts) == 1 and parts[0] == field:
         return found
-    return _once(_get(payload, field), lambda plain: F.when(plain.isNotNull(), _elements(plain)).otherwise(found))
+    return once(_get(payload, field), lambda plain: F.when(plain.isNotNull(), _elements(plain)).otherwise(found))
 
 
 def _kind(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.functions.payload import matches, violations, where
+from fathom.functions.payload import matches, once, violations, where
 from fathom.operators import access, changes
 from fathom.registry import query
 from fathom.sources.tables import points, table
@@ -15,14 +15,17 @@ _SQL = """WITH p AS (SELECT event_id, event_type, value, (props->>'k')::BIGINT A
 
 def payloads(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    return e.select("event_id", once(F.get_json_object("props", "$.k").cast("bigint"), _payload).alias("payload"))
+
+
+def _payload(k):
     inner = F.array(F.struct(k.alias("k"), (k % 2 == 1).alias("odd")), F.struct((k + 100).alias("k"), F.lit(False).alias("odd")))
     fields = F.struct(
         F.col("event_type").alias("type"), F.col("value").alias("value"), k.alias("k"), F.array("event_type", F.lit("all")).alias("tags"),
         inner.alias("inner"), F.concat(F.lit("Seen a "), F.upper("event_type"), F.lit(", number "), k.cast("string")).alias("note"),
         F.when(k % 3 == 0, k).alias("third"), F.lit(7).alias("a.b"), F.struct(F.lit(8).alias("b"), F.lit(9).alias("c")).alias("a"),
     )
-    return e.select("event_id", F.parse_json(F.to_json(fields)).alias("payload"))
+    return F.parse_json(F.to_json(fields))
 
 
 def register(name: str, given: dict, condition: str) -> None:

@@ -238,6 +238,15 @@ def test_payload_is_parsed_once(spark):
     assert again.columns == ["id", "payload", "violation"] and {r.violation for r in again.collect()} == {"t", "a.b"}
 
 
+def test_event_payloads_read_props_once(spark):
+    """The queries over events read their number once a row and parse once, whatever a filter names."""
+    from fathom.registry import queries
+
+    for name in ("filter_literal_key", "filter_path", "payload_schema"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("parseJson"), plan.count("$.k")) == (1, 1)
+
+
 def test_index_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     c = index.centres(e, 16)
