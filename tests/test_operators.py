@@ -329,6 +329,23 @@ def test_views(spark):
     refused("ml_source", views.view, df, [], "kind", ["price"])
 
 
+def test_views_fit_in_tasks_of_bounded_size(spark, monkeypatch):
+    """A source in one partition is dealt out, so that no task of a fit reads all of it, and a rerun agrees."""
+    seen, fit = [], views.Pipeline.fit
+
+    def watched(self, df, *more):
+        seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(views.Pipeline, "fit", watched)
+    df = spark.range(2000).coalesce(1).selectExpr("id", "concat('k', id % 5) AS kind", "cast(id % 7 AS double) AS size", "if(id % 4 = 0, null, id % 7 + id % 5) AS y")
+    whole = views.view(df, ["id"], "y", ["kind", "size"], task="regression").count()
+    monkeypatch.setattr(views, "TASK_NUMBERS", 10_400)
+    out = [sorted(map(tuple, views.view(df, ["id"], "y", ["kind", "size"], task="regression").collect())) for _ in range(2)]
+    assert whole == len(out[0]) == 2000 and out[0] == out[1]
+    assert seen[0] == [1500] and sum(seen[1]) == 1500 and max(seen[1]) < 400
+
+
 # SQL surface
 
 
